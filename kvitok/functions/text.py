@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ NAMED_REFERENCES = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse_whitespace(text: Column) -> Column:
     """Runs of any Unicode whitespace become one space; the ends are trimmed."""
     return F.trim(F.regexp_replace(text, f"(?U){_SPACE}+", " "))
@@ -112,10 +119,12 @@ def truncate_message(text: Column, limit: int = MESSAGE_LIMIT) -> Column:
 
 
 def _bullet(line: Column) -> Column:
-    body = lstrip(line)
-    indent = F.repeat(F.lit(" "), F.length(line) - F.length(body))
-    marked = body.startswith("* ") | body.startswith("- ")
-    return F.when(marked, F.concat(indent, F.lit("• "), F.substr(body, F.lit(3)))).otherwise(line)
+    def bulleted(body: Column) -> Column:
+        indent = F.repeat(F.lit(" "), F.length(line) - F.length(body))
+        marked = body.startswith("* ") | body.startswith("- ")
+        return F.when(marked, F.concat(indent, F.lit("• "), F.substr(body, F.lit(3)))).otherwise(line)
+
+    return let(lstrip(line), bulleted)
 
 
 def markdown_to_html(text: Column) -> Column:

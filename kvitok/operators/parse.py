@@ -18,7 +18,7 @@ from kvitok.functions.numbers import (
     to_double,
     valid_tokens,
 )
-from kvitok.functions.text import blank_to_null, collapse_whitespace, strip
+from kvitok.functions.text import blank_to_null, collapse_whitespace, let, strip
 from kvitok.schemas import SERVICE_LINE
 
 # Patterns of the bill fields, applied to whitespace-collapsed text.
@@ -46,7 +46,7 @@ INVALID = "invalid"
 
 
 def bill_matches(text: Column) -> Column:
-    """Struct of what each pattern finds in whitespace-collapsed text, ``''`` if nothing.
+    """Struct of what each pattern finds once whitespace is collapsed, ``''`` if nothing.
 
     Every pattern reads the text once. Those with several groups keep the whole match,
     whose groups are taken later from that short piece.
@@ -63,7 +63,10 @@ def bill_matches(text: Column) -> Column:
         "residents": (RESIDENTS, 1),
         "paid_on": (PAID_ON, 1),
     }
-    return F.struct(*[F.regexp_extract(text, p, g).alias(name) for name, (p, g) in found.items()])
+    return let(
+        collapse_whitespace(text),
+        lambda t: F.struct(*[F.regexp_extract(t, p, g).alias(name) for name, (p, g) in found.items()]),
+    )
 
 
 def bill_fields(found: Column) -> dict[str, Column]:
@@ -163,7 +166,7 @@ def _candidate(part: Column) -> Column:
     return F.struct(
         part["part_idx"].alias("part_idx"),
         F.when(is_html, F.lit("html")).otherwise(F.lit("text")).alias("kind"),
-        bill_matches(collapse_whitespace(source)).alias("found"),
+        bill_matches(source).alias("found"),
         F.when(is_html, html_services(part["tables"]))
         .otherwise(text_services(part["body"]))
         .cast(f"array<{SERVICE_LINE}>")
@@ -204,7 +207,11 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         F.filter(filled, lambda p: p["content_type"] != "text/html"),
     )
     judged = F.transform(F.transform(ordered, _candidate), _judged)
-    deciding = F.try_element_at(F.filter(judged, lambda c: c["status"] != INVALID), F.lit(1))
+    first = F.slice(F.filter(judged, lambda c: c["status"] != INVALID), 1, 1)
+    # Generated columns are computed once; a plain column would be repeated in every filter on it.
+    parsed = messages.select(
+        *[c for c in messages.columns if c != "parts"], F.explode_outer(first).alias("deciding")
+    )
     status = F.col("deciding.status")
     reason = (
         F.when(F.col("problem").isNotNull(), F.lit("unreadable"))
@@ -212,7 +219,6 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         .when(status != VALID, status)
         .when(~F.col("deciding.month").between(1, 12), F.lit("bad_month"))
     )
-    parsed = messages.withColumn("deciding", deciding)
     return parsed.select(
         *[c for c in messages.columns if c != "parts"],
         F.when(status == VALID, F.col("deciding")).alias("bill"),
@@ -220,6 +226,14 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     )
 
 
+def parse_texts(texts: DataFrame, body: str = "body") -> DataFrame:
+    """Adds the bill fields of a plain-text column, computed once per row."""
+    found = F.explode(F.array(bill_matches(F.col(body))))
+    matched = texts.select("*", found.alias("found"))
+    fields = F.struct(*[column.alias(name) for name, column in bill_fields(F.col("found")).items()])
+    return matched.select(*texts.columns, F.inline(F.array(fields)))
+
+
 def stored_bills(parsed: DataFrame) -> DataFrame:
     """Bills that pass all checks, one row each, fields as columns."""
     return parsed.where("reason IS NULL").select("msg_id", "received_at", "bill.*")

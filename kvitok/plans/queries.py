@@ -73,8 +73,7 @@ def _chart(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bill_text(spark: SparkSession, sf: str) -> DataFrame:
-    bills = sample.bill_texts(spark, sf).select("msg_id", "received_at", "body")
-    return bills.withColumn("found", parse.bill_matches(text.collapse_whitespace(F.col("body"))))
+    return sample.bill_texts(spark, sf).select("msg_id", "received_at", "body")
 
 
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,9 +122,7 @@ def charges_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def period_info_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    bills = _bill_text(spark, sf)
-    fields = parse.bill_fields(F.col("found"))
-    parsed = bills.select("msg_id", "received_at", *[c.alias(n) for n, c in fields.items()])
+    parsed = parse.parse_texts(_bill_text(spark, sf)).drop("body")
     stored = parsed.where(
         "defect IS NULL AND account_number IS NOT NULL AND year <> 0 AND month BETWEEN 1 AND 12"
     )
@@ -405,11 +402,8 @@ def number_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bill_text_fields(spark: SparkSession, sf: str) -> DataFrame:
-    bills = _bill_text(spark, sf)
-    fields = parse.bill_fields(F.col("found"))
-    return bills.select("msg_id", *[c.alias(n) for n, c in fields.items()]).withColumn(
-        "total_due", F.col("total_due").cast("double")
-    )
+    parsed = parse.parse_texts(_bill_text(spark, sf)).drop("body", "received_at")
+    return parsed.withColumn("total_due", F.col("total_due").cast("double"))
 
 
 @query

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,3 +47,13 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="kvitok-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame, source: DataFrame, bytes_per_task: int = 16 << 20) -> DataFrame:
+    """Even partitions for work that is heavy per row: at least one per core, more as data grows.
+
+    The size is the optimizer's estimate of ``source``, so nothing runs to find it.
+    """
+    estimate = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, math.ceil(int(str(estimate)) / bytes_per_task)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvitok.functions.numbers import MONEY, QUANTITY
+from kvitok.session import spread
 
 # Names as bills print them.
 RAW_SERVICES = (
@@ -145,8 +146,9 @@ def bill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     The line number decides the defects and the return flag which apartment facts
     are printed, so that all branches of the parser see many bills.
     """
-    # Writing and reading mail is heavy per row, so spread the small rows first.
-    items = table(spark, sf_dir, "lineitem").repartition("l_orderkey", "l_linenumber")
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    columns += ("l_returnflag", "l_linestatus", "l_shipdate")
+    items = table(spark, sf_dir, "lineitem").select(*columns)
     heads = bills(spark, sf_dir).select("o_orderkey", "account_number", "address", "year", "month")
     money = F.col("l_extendedprice").cast(MONEY).cast("string")
     quantity = F.col("l_quantity").cast(QUANTITY).cast("string")
@@ -219,9 +221,10 @@ def bill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(quantity, 12, "0"),
         F.lpad(money, 16, "0"),
     )
+    # Writing and reading mail is heavy per row, so the small joined rows are spread first.
+    joined = spread(items.join(heads, items.l_orderkey == heads.o_orderkey), items)
     return (
-        items.join(heads, items.l_orderkey == heads.o_orderkey)
-        .select("*", msg_id.alias("msg_id"), head.alias("head"), lines.alias("lines"), tail.alias("tail"))
+        joined.select("*", msg_id.alias("msg_id"), head.alias("head"), lines.alias("lines"), tail.alias("tail"))
         .select(
             "msg_id",
             F.col("l_shipdate").cast("timestamp").alias("received_at"),
