@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,23 +26,14 @@ _MARKUP = (
 MESSAGE_LIMIT = 4000
 CUT_MARKER = "... (обрезано)"
 
-# Named character references found in bill mails and pages.
-# ``&amp;`` is decoded last so that nothing is decoded twice.
-NAMED_REFERENCES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": "\u00a0",
-    "&laquo;": "«",
-    "&raquo;": "»",
-    "&mdash;": "—",
-    "&ndash;": "–",
-    "&hellip;": "…",
-    "&copy;": "©",
-    "&sect;": "§",
-    "&amp;": "&",
-}
+def _reference_table() -> str:
+    """Character references as a JSON object: all names the standard library knows,
+    and the numbers 128 to 159, which stand for their windows-1252 characters."""
+    table = dict(html5)
+    for code in range(128, 160):
+        char = bytes([code]).decode("cp1252", "replace")
+        table[f"#{code};"] = table[f"#x{code:x};"] = table[f"#X{code:X};"] = char
+    return json.dumps(table)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,29 +72,38 @@ def html_escape(text: Column) -> Column:
 
 
 def _code_point(digits: Column, base: int) -> Column:
-    code = F.conv(digits, base, 16)
-    return F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+    code = F.conv(digits, base, 10).cast("long")
+    known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    # Anything else is no character and becomes the replacement character.
+    kept = F.lpad(F.hex(F.when(known, code).otherwise(F.lit(0xFFFD))), 8, "0")
+    return F.decode(F.unhex(kept), "UTF-32")
 
 
 def decode_references(text: Column) -> Column:
-    """Decode numeric character references and the common named ones."""
+    """Decode named and numeric character references; unknown ones stay as they are.
+
+    The text is cut at each ``&``, so nothing is decoded twice. Texts without one skip the work.
+    """
+    table = F.from_json(F.lit(_reference_table()), "map<string,string>")
 
     def piece(p: Column, i: Column) -> Column:
-        dec = F.regexp_extract(p, r"^#([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
-        rest = F.regexp_replace(p, r"^#[0-9a-zA-Z]+;", "")
-        return (
-            F.when(i == 0, p)
-            .when(dec != "", F.concat(_code_point(F.when(dec != "", dec), 10), rest))
-            .when(hexa != "", F.concat(_code_point(F.when(hexa != "", hexa), 16), rest))
-            .otherwise(F.concat(F.lit("&"), p))
+        token = F.regexp_extract(p, r"^([a-zA-Z][a-zA-Z0-9]*;?|#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};)", 1)
+        return let(token, lambda t: F.when(i == 0, p).otherwise(decoded(p, t)))
+
+    def decoded(p: Column, token: Column) -> Column:
+        dec = F.regexp_extract(token, r"^#([0-9]+);", 1)
+        hexa = F.regexp_extract(token, r"^#[xX]([0-9a-fA-F]+);", 1)
+        char = (
+            F.when(token == "", F.lit(None))
+            .when(F.try_element_at(table, token).isNotNull(), F.try_element_at(table, token))
+            .when(dec != "", _code_point(dec, 10))
+            .when(hexa != "", _code_point(hexa, 16))
         )
+        rest = F.substr(p, F.length(token) + 1)
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), p))
 
-    numeric = F.array_join(F.transform(F.split(text, "&", -1), piece), "")
-    decoded = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
-    for name, char in NAMED_REFERENCES.items():
-        decoded = F.replace(decoded, F.lit(name), F.lit(char))
-    return decoded
+    pieces = F.transform(F.split(text, "&", -1), piece)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def visible_text(html: Column) -> Column:
@@ -110,7 +112,8 @@ def visible_text(html: Column) -> Column:
     One pattern covers all markup, so whichever item opens first wins, and each
     becomes one space. Only native expressions are used.
     """
-    return collapse_whitespace(decode_references(F.regexp_replace(html, _MARKUP, " ")))
+    bare = F.regexp_replace(html, _MARKUP, " ")
+    return collapse_whitespace(let(bare, decode_references))
 
 
 def truncate_message(text: Column, limit: int = MESSAGE_LIMIT) -> Column:

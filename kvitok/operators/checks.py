@@ -1,4 +1,8 @@
-"""Table constraints as counts of violations."""
+"""Table constraints as counts of violations.
+
+A table is first counted per key (``key_counts``); all its checks read those counts,
+so they share one shuffle and a key that holds much of the table is one row by then.
+"""
 
 from __future__ import annotations
 
@@ -9,33 +13,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def row_checks(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Rows that break each rule, in one pass over the table."""
-    counts = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()])
-    return counts.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`").alias("violations"))
-                    for name in rules
-                ]
-            )
-        ).alias("r")
-    ).select("r.*")
+def key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct values of the checked columns with their number of rows ``n``."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def row_checks(counts: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rows that break each rule."""
+    broken = [
+        F.coalesce(F.sum(F.when(~F.coalesce(ok, F.lit(False)), F.col("n"))), F.lit(0)).alias(name)
+        for name, ok in rules.items()
+    ]
+    result = F.array(
+        *[F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`").alias("violations")) for name in rules]
+    )
+    return counts.agg(*broken).select(F.inline(result))
 
 
-def unique_check(df: DataFrame, rule: str, key: Sequence[str]) -> DataFrame:
+def unique_check(counts: DataFrame, rule: str) -> DataFrame:
     """Keys that occur more than once."""
-    repeated = df.groupBy(*key).count().where("count > 1")
-    return repeated.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+    return counts.agg(F.count_if(F.col("n") > 1).alias("violations")).select(
+        F.lit(rule).alias("rule"), "violations"
+    )
 
 
-def reference_check(child: DataFrame, parent: DataFrame, rule: str, key: list[str]) -> DataFrame:
+def reference_check(counts: DataFrame, parent: DataFrame, rule: str, key: list[str]) -> DataFrame:
     """Child rows without a parent row. NULL keys are left to the row checks."""
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
-    counts = child.where(present).groupBy(*key).count()
-    orphans = counts.join(parent.select(*key), key, "left_anti")
-    return orphans.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("violations")).select(
+    children = counts.where(present).groupBy(*key).agg(F.sum("n").alias("n"))
+    orphans = children.join(parent.select(*key), key, "left_anti")
+    return orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(
         F.lit(rule).alias("rule"), "violations"
     )
 

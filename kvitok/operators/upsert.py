@@ -39,8 +39,13 @@ def replace_rows(
 
 
 def missing_rows(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates whose key is not stored yet."""
-    return candidates.join(existing.select(*keys), keys, "left_anti")
+    """Candidates whose key is not stored yet.
+
+    The stored keys among the candidates are found first: that semi join can ship the
+    few candidates to a large table, which an anti join against the table cannot.
+    """
+    known = existing.select(*keys).join(candidates.select(*keys), keys, "left_semi")
+    return candidates.join(known, keys, "left_anti")
 
 
 def surrogate_id(*natural_key: str) -> Column:
@@ -110,9 +115,14 @@ def period_rows(bills: DataFrame) -> DataFrame:
 
 
 def service_rows(lines: DataFrame) -> DataFrame:
-    """Services by canonical name. Every parser emits the same unit, so no order is needed."""
+    """Services by canonical name. Every parser emits the same unit, so no order is needed.
+
+    Raw names are made distinct first, so that only a few have to be normalised.
+    """
     return (
-        lines.select(normalize_service(F.col("raw_service")).alias("name"))
+        lines.select("raw_service")
+        .distinct()
+        .select(normalize_service(F.col("raw_service")).alias("name"))
         .distinct()
         .select(
             surrogate_id("name").alias("service_id"),

@@ -185,17 +185,17 @@ _MARKUP = (
     r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
     r"|<template\b[^>]*>.*?</template\s*>|<[!?][^>]*>|</?[a-z](?:\"[^\"]*\"|''[^'']*''|[^''\">])*>"
 )
+# The references that the sample pages use; ``&amp;`` comes last.
 _REFERENCES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", " "), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&copy;", "©"),
-    ("&sect;", "§"), ("&amp;", "&"),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&mdash;", "—"), ("&copy;", "©"),
+    ("&middot;", "·"), ("&amp;", "&"),
 )
 
 
 def _visible(html: str) -> str:
     text = f"regexp_replace({html}, '{_MARKUP}', ' ', 'g')".replace('\\"', '"')
     for name, char in _REFERENCES:
-        text = f"replace({text}, '{name}', '{char}')"
+        text = f"regexp_replace({text}, '{name}?', '{char}', 'g')"
     return f"trim(regexp_replace({text}, '{_SPACE}', ' ', 'g'))"
 
 
@@ -289,7 +289,7 @@ ORACLE_SQL = {
         "SELECT DISTINCT account_number, address FROM bills"
     ),
     "periods_dim": _sql(
-        'SELECT DISTINCT "year", "month", make_date("year", "month", 1) AS start_date FROM heads'
+        'SELECT DISTINCT "year", "month", CAST(make_date("year", "month", 1) AS VARCHAR) AS start_date FROM heads'
     ),
     "services_dim": _sql("SELECT DISTINCT service AS name, '?' AS unit FROM named"),
     "service_name_normalize": _sql(

@@ -61,7 +61,10 @@ def _periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregates.month_breakdown(_months(spark, sf), _services(spark, sf))
+    # The join with so few service names must not shuffle by them; the price list of
+    # units is a short literal table, which Spark broadcasts for its size.
+    units = upsert.service_rows(sample.price_list(spark))
+    return aggregates.month_breakdown(_months(spark, sf), units)
 
 
 def _analyses(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +102,7 @@ def accounts_dim(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def periods_dim(spark: SparkSession, sf: str) -> DataFrame:
-    return _periods(spark, sf).select("year", "month", "start_date")
+    return _periods(spark, sf).select("year", "month", F.col("start_date").cast("string"))
 
 
 @query
@@ -143,19 +146,24 @@ def raw_imports_audit(spark: SparkSession, sf: str) -> DataFrame:
 def constraint_checks(spark: SparkSession, sf: str) -> DataFrame:
     accounts, periods = sample.addresses(spark, sf), _periods(spark, sf)
     services = _services(spark, sf)
-    lines = upsert.charge_rows(sample.charge_lines(spark, sf))
+    per_account = checks.key_counts(accounts, ["account_number", "address"])
+    per_period = checks.key_counts(periods, ["year", "month"])
+    lines = checks.key_counts(upsert.charge_rows(sample.charge_lines(spark, sf)), upsert.CHARGE_KEY)
     log = sample.analysis_log(spark, sf)
+    texts = ("prompt", "response", "model")
+    flags = [F.col(c).isNotNull().alias(c) for c in texts]
+    runs = checks.key_counts(log.select(*analysis.ANALYSIS_KEY, *flags), [*analysis.ANALYSIS_KEY, *texts])
     month_ok = F.col("month").between(1, 12)
     return checks.all_checks(
         [
             checks.row_checks(
-                accounts,
+                per_account,
                 {
                     "accounts.account_number not null": F.col("account_number").isNotNull(),
                     "accounts.address not null": F.col("address").isNotNull(),
                 },
             ),
-            checks.row_checks(periods, {"periods.month range": month_ok}),
+            checks.row_checks(per_period, {"periods.month range": month_ok}),
             checks.row_checks(
                 lines,
                 {
@@ -164,25 +172,18 @@ def constraint_checks(spark: SparkSession, sf: str) -> DataFrame:
                     "charges.month range": month_ok,
                 },
             ),
-            checks.row_checks(
-                log,
-                {
-                    "analysis.prompt not null": F.col("prompt").isNotNull(),
-                    "analysis.response not null": F.col("response").isNotNull(),
-                    "analysis.model not null": F.col("model").isNotNull(),
-                },
-            ),
-            checks.unique_check(accounts, "accounts unique", ["account_number"]),
-            checks.unique_check(periods, "periods unique", ["year", "month"]),
-            checks.unique_check(services, "services unique", ["name"]),
-            checks.unique_check(lines, "charge lines unique", upsert.CHARGE_KEY),
-            checks.unique_check(log, "analysis log unique", analysis.ANALYSIS_KEY),
+            checks.row_checks(runs, {f"analysis.{c} not null": F.col(c) for c in texts}),
+            checks.unique_check(checks.key_counts(accounts, ["account_number"]), "accounts unique"),
+            checks.unique_check(per_period, "periods unique"),
+            checks.unique_check(checks.key_counts(services, ["name"]), "services unique"),
+            checks.unique_check(lines, "charge lines unique"),
+            checks.unique_check(checks.key_counts(log, analysis.ANALYSIS_KEY), "analysis log unique"),
             checks.reference_check(lines, accounts, "charges.account exists", ["account_number"]),
             checks.reference_check(lines, periods, "charges.period exists", ["year", "month"]),
             checks.reference_check(
                 lines.withColumnRenamed("service", "name"), services, "charges.service exists", ["name"]
             ),
-            checks.reference_check(log, periods, "analysis.period exists", ["year", "month"]),
+            checks.reference_check(runs, periods, "analysis.period exists", ["year", "month"]),
         ]
     )
 

@@ -85,7 +85,7 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def billed_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts that ever got a bill, as the accounts table would hold them."""
-    billed = orders(spark, sf_dir).select("account_number")
+    billed = orders(spark, sf_dir).select("account_number").distinct()
     return addresses(spark, sf_dir).join(billed, "account_number", "left_semi")
 
 
@@ -117,6 +117,11 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(raw_service(F.col("p_partkey")).alias("raw_service")).distinct()
 
 
+def price_list(spark: SparkSession) -> DataFrame:
+    """All raw service names that bills can print."""
+    return spark.createDataFrame([(name,) for name in RAW_SERVICES], "raw_service string")
+
+
 def analysis_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyses stored so far: urgent, closed orders were analysed on arrival."""
     done = bills(spark, sf_dir).where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
