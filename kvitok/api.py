@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from kvitok.operators import aggregates, analysis, chart, history, messages
 from kvitok.streaming.ingest import Store
 
-# A fixed key for questions about one list of accounts.
-_KEY = F.lit("all").alias("key")
-
 
 class Billing:
     """Lookups, charts, history and the work queue over a store."""
@@ -52,7 +49,7 @@ class Billing:
         services: list[str] | None = None,
     ) -> DataFrame:
         """Month by service matrix of the accounts together; no services means all."""
-        charges = aggregates.of_accounts(self.store.charges(), accounts).withColumn("key", _KEY)
+        charges = aggregates.of_accounts(self.store.charges(), accounts).withColumn("key", F.lit("all"))
         return chart.chart_long(charges, self.periods_table, start, end, services, key="key")
 
     def chart_payload(
@@ -63,7 +60,7 @@ class Billing:
         services: list[str] | None = None,
     ) -> DataFrame:
         """The chart as one JSON text."""
-        keys = self.store.spark.range(1).select(_KEY)
+        keys = self.store.spark.range(1).select(F.lit("all").alias("key"))
         months = self.periods_table.where(aggregates.in_range(start, end))
         long = self.chart(accounts, start, end, services)
         return chart.chart_payload(long, keys, months, key="key")
