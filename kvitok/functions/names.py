@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,21 +44,21 @@ def normalize_service(raw: Column) -> Column:
     fragments, so it can neither make nor break a match.
     """
     lowered = F.lower(raw)
-    name = F.when(raw == "", raw)
-    for fragments, canonical in CANONICAL_NAMES:
-        found = F.lit(False)
-        for fragment in fragments:
-            found = found | F.contains(lowered, F.lit(fragment))
-        name = name.when(found, F.lit(canonical))
-    return name.otherwise(strip(raw))
+    rules = [
+        (reduce(operator.or_, [F.contains(lowered, F.lit(f)) for f in fragments]), canonical)
+        for fragments, canonical in CANONICAL_NAMES
+    ]
+    return _first_match(rules).otherwise(strip(raw))
+
+
+def _first_match(rules: list[tuple[Column, str]]) -> Column:
+    """One flat CASE, so that what its conditions share is computed once per row."""
+    return reduce(lambda case, rule: case.when(rule[0], F.lit(rule[1])), rules, F)
 
 
 def text_line_service(line: Column) -> Column:
     """Name of the first keyword found in a text line, else NULL."""
-    name = F.lit(None).cast("string")
-    for keyword, emitted in reversed(LINE_KEYWORDS):
-        name = F.when(F.contains(line, F.lit(keyword)), F.lit(emitted)).otherwise(name)
-    return name
+    return _first_match([(F.contains(line, F.lit(keyword)), name) for keyword, name in LINE_KEYWORDS])
 
 
 def has_service_keyword(text: Column) -> Column:

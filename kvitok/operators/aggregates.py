@@ -54,9 +54,10 @@ def with_analysis_tariff(months: DataFrame) -> DataFrame:
 
 def month_breakdown(months: DataFrame, services: DataFrame) -> DataFrame:
     """The same sums by service name and unit, with the defaults of a report."""
+    # Null-safe equality keeps Spark from testing the computed name for NULL once more at the scan.
     named = months.join(
-        services.select(F.col("name").alias("service"), F.col("unit")), "service"
-    )
+        services.select("name", "unit"), F.col("service").eqNullSafe(F.col("name"))
+    ).drop("name")
     return named.select(
         *[c for c in months.columns if c not in ("service", "quantity", "amount_due")],
         F.col("service").alias("name"),

@@ -49,11 +49,23 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(rows: DataFrame, source: DataFrame, bytes_per_task: int = 16 << 20) -> DataFrame:
-    """Even partitions for work that is heavy per row: at least one per core, more as data grows.
+def _estimated_bytes(source: DataFrame) -> int:
+    """The optimizer's estimate; nothing runs to find it."""
+    return int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fill_cores(scan: DataFrame, bytes_per_task: int = 16 << 20) -> DataFrame:
+    """A small input usually lies in fewer file splits than there are cores: even it out.
 
-    The size is the optimizer's estimate of ``source``, so nothing runs to find it.
+    Larger inputs are left alone, as their splits keep all cores busy and moving them costs more.
     """
-    estimate = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if _estimated_bytes(scan) >= cores * bytes_per_task:
+        return scan
+    return scan.repartition(cores)
+
+
+def spread(rows: DataFrame, source: DataFrame, bytes_per_task: int = 16 << 20) -> DataFrame:
+    """Even partitions for work that is heavy per row: at least one per core, more as ``source`` grows."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(cores, math.ceil(int(str(estimate)) / bytes_per_task)))
+    return rows.repartition(max(cores, math.ceil(_estimated_bytes(source) / bytes_per_task)))
