@@ -140,10 +140,15 @@ def _is_service_row(cells: Column) -> Column:
 
 def html_services(tables: Column) -> Column:
     """Service rows of the first table that has the most of them."""
-    candidates = F.transform(tables, lambda rows: F.filter(rows, _is_service_row))
-    most = F.array_max(F.transform(candidates, F.size))
+
+    def best_of(candidates: Column) -> Column:
+        most = F.array_max(F.transform(candidates, F.size))
+        return let(
+            most, lambda n: F.try_element_at(F.filter(candidates, lambda rows: F.size(rows) == n), F.lit(1))
+        )
+
     best = F.coalesce(
-        F.try_element_at(F.filter(candidates, lambda rows: F.size(rows) == most), F.lit(1)),
+        let(F.transform(tables, lambda rows: F.filter(rows, _is_service_row)), best_of),
         F.array().cast("array<array<string>>"),
     )
     lines = F.transform(

@@ -14,7 +14,7 @@ from kvitok.operators import aggregates, analysis, chart, checks, history, messa
 from kvitok.session import shared_dir
 from kvitok.sources import mail, mime, sample
 from kvitok.sources.sample_mail import sample_mail
-from kvitok.streaming.ingest import Filter, Store, start_ingest
+from kvitok.streaming.ingest import Store, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,7 +23,7 @@ QUERIES: dict[str, Query] = {}
 CHART_START, CHART_END = (1995, 3), (2001, 6)
 QUEUE_LIMIT = 50
 
-TRIAGE = Filter(sample.SENDER, sample.RECIPIENT, sample.SUBJECT)
+TRIAGE = (sample.SENDER, sample.RECIPIENT, sample.SUBJECT)
 
 
 def query(function: Query) -> Query:
@@ -84,7 +84,7 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _accepted(spark: SparkSession, sf: str) -> DataFrame:
-    return mail.accept(_messages(spark, sf), TRIAGE.from_part, TRIAGE.to_part, TRIAGE.subject_part)
+    return mail.accept(mime.read_messages(sample_mail(spark, sf), rule=TRIAGE), TRIAGE)
 
 
 def _double(*names: str) -> list:
@@ -419,8 +419,8 @@ def bill_text_services(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def mail_triage(spark: SparkSession, sf: str) -> DataFrame:
-    accepted = mail.is_accepted(TRIAGE.from_part, TRIAGE.to_part, TRIAGE.subject_part)
-    return _messages(spark, sf).select("msg_id", "h_subject", accepted.cast("int").alias("accepted"))
+    accepted = mail.is_accepted(TRIAGE)
+    return mime.read_messages(sample_mail(spark, sf), rule=TRIAGE).select("msg_id", "h_subject", accepted.cast("int").alias("accepted"))
 
 
 @query

@@ -176,5 +176,5 @@ def test_triage_is_case_sensitive_and_decodes_headers(spark):
     mail = spark.createDataFrame(mail_rows(contents), MAIL_SCHEMA)
     messages = read_messages(mail)
     assert messages.count() == 4
-    kept = accept(messages, "a@b.example", "me@", "Единый платежный документ")
+    kept = accept(messages, ("a@b.example", "me@", "Единый платежный документ"))
     assert [r.msg_id for r in kept.collect()] == ["m000.eml"]

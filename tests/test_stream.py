@@ -12,7 +12,7 @@ from kvitok.operators.parse import parse_messages, stored_bills
 from kvitok.operators.upsert import bill_lines, upsert_charges
 from kvitok.sources import mail as sources
 from kvitok.sources.mime import read_messages
-from kvitok.streaming.ingest import LINE_ARRIVAL, Filter, Store, ingest_batch, start_ingest
+from kvitok.streaming.ingest import LINE_ARRIVAL, Store, ingest_batch, start_ingest
 from tests.mails import HEAD, MAIL_SCHEMA, bill, html_mail, mail_rows, message, page, text_mail
 
 D = Decimal
@@ -34,7 +34,7 @@ def golden():
     ]
 
 
-RULE = Filter(from_part="a@b.example")
+RULE = ("a@b.example", "", "")
 
 
 def ingest(spark, root, contents, files_per_batch=100):
@@ -115,7 +115,7 @@ def test_many_batches_give_the_same_tables(spark, store, tmp_path):
 
 def test_stream_equals_batch(spark, store):
     mail = spark.createDataFrame(mail_rows(golden()), MAIL_SCHEMA)
-    messages = sources.accept(read_messages(mail), RULE.from_part, "", "")
+    messages = sources.accept(read_messages(mail, rule=RULE), RULE)
     lines = bill_lines(stored_bills(parse_messages(messages)), "received_at", "msg_id")
     assert charge_set(upsert_charges(lines, LINE_ARRIVAL)) == charge_set(store.charges())
 
