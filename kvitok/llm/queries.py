@@ -6,10 +6,14 @@ from kvitok.llm.lines import OP4_SQL, op4_line_dedup
 from kvitok.llm.mixing import op8_mixing
 from kvitok.llm.mixing_sql import OP8_SQL
 from kvitok.llm.near_duplicates import op3_near_dedup
+from kvitok.llm.nearest import op9_exact_top_k
+from kvitok.llm.scoring import op10_lm_scores
 from kvitok.llm.suffixes import op7_suffix_dedup
 from kvitok.llm.tokens import op6_token_counts
+from kvitok.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
     "op4_line_dedup": op4_line_dedup,
@@ -17,6 +21,8 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing": op8_mixing,
+    "op9_exact_top_k": op9_exact_top_k,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLE_SQL = {
