@@ -26,6 +26,11 @@ HEADLINE = (
     "analysis_prompt",
     "report_text",
     "bill_text_services",
+    "mail_triage",
+    "bill_first_valid_part",
+    "bill_quarantine",
+    "html_visible_text",
+    "stream_ingest",
 )
 
 

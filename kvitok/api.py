@@ -14,9 +14,20 @@ class Billing:
 
     def __init__(self, store: Store) -> None:
         self.store = store
-        self.accounts_table = store.read("accounts").drop("batch_id")
-        self.periods_table = store.read("periods").drop("batch_id")
-        self.services_table = store.read("services").drop("batch_id")
+
+    # Read at each call, as the store grows while the stream runs.
+
+    @property
+    def accounts_table(self) -> DataFrame:
+        return self.store.read("accounts").drop("batch_id")
+
+    @property
+    def periods_table(self) -> DataFrame:
+        return self.store.read("periods").drop("batch_id")
+
+    @property
+    def services_table(self) -> DataFrame:
+        return self.store.read("services").drop("batch_id")
 
     # Listings
 
@@ -69,7 +80,7 @@ class Billing:
 
     def _months(self, address: str) -> DataFrame:
         accounts = self.accounts_table.where(F.col("address") == address)
-        return aggregates.month_services(aggregates.at_addresses(self.store.charges(), accounts))
+        return aggregates.month_services(aggregates.at_addresses(self.store.charges(accounts), accounts))
 
     def month(self, address: str, year: int, month: int) -> DataFrame:
         rows = aggregates.with_analysis_tariff(self._months(address))

@@ -19,20 +19,29 @@ _MARKUP = (
     r"|<style\b[^>]*>.*?</style\s*>"
     r"|<template\b[^>]*>.*?</template\s*>"
     r"|<[!?][^>]*>"
-    r"""|</?[a-z](?:"[^"]*"|'[^']*'|[^'">])*>"""
+    r"|<rt\b[^>]*>.*?</rt\s*>"
+    r"|<rp\b[^>]*>.*?</rp\s*>"
+    # Possessive runs: the matcher keeps no state for each character of a long tag.
+    r"""|</?[a-z](?:"[^"]*+"|'[^']*+'|[^'">]++)*+>"""
 )
 
 # Message limit and the marker added when a message is cut.
 MESSAGE_LIMIT = 4000
 CUT_MARKER = "... (обрезано)"
 
+# Longest name that counts without a semicolon, and so also as the beginning of a longer word.
+_OPEN_NAME = max(len(name) for name in html5 if not name.endswith(";"))
+
+
 def _reference_table() -> str:
     """Character references as a JSON object: all names the standard library knows,
     and the numbers 128 to 159, which stand for their windows-1252 characters."""
     table = dict(html5)
     for code in range(128, 160):
-        char = bytes([code]).decode("cp1252", "replace")
-        table[f"#{code};"] = table[f"#x{code:x};"] = table[f"#X{code:X};"] = char
+        try:
+            table[f"#{code}"] = bytes([code]).decode("cp1252")
+        except UnicodeDecodeError:
+            table[f"#{code}"] = chr(code)
     return json.dumps(table)
 
 
@@ -60,6 +69,7 @@ def blank_to_null(text: Column) -> Column:
 
 
 def html_escape(text: Column) -> Column:
+    # The characters that markup must not hold, the ampersand first.
     for raw, escaped in (
         ("&", "&amp;"),
         ("<", "&lt;"),
@@ -71,12 +81,22 @@ def html_escape(text: Column) -> Column:
     return text
 
 
-def _code_point(digits: Column, base: int) -> Column:
-    code = F.conv(digits, base, 10).cast("long")
-    known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    # Anything else is no character and becomes the replacement character.
-    kept = F.lpad(F.hex(F.when(known, code).otherwise(F.lit(0xFFFD))), 8, "0")
-    return F.decode(F.unhex(kept), "UTF-32")
+def _code_point(digits: Column, base: int, table: Column) -> Column:
+    """Character of a number; controls and code points that are no characters vanish."""
+
+    def char(code: Column) -> Column:
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        unseen = (
+            code.between(1, 8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F)
+            | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
+        )
+        # Anything else is no character and becomes the replacement character.
+        kept = F.lpad(F.hex(F.when(known, code).otherwise(F.lit(0xFFFD))), 8, "0")
+        special = F.try_element_at(table, F.concat(F.lit("#"), code.cast("string")))
+        return F.coalesce(special, F.when(known & unseen, F.lit("")), F.decode(F.unhex(kept), "UTF-32"))
+
+    # More digits than a code point has only say that it is none.
+    return let(F.conv(F.substring(F.regexp_replace(digits, "^0+", ""), 1, 9), base, 10).cast("long"), char)
 
 
 def decode_references(text: Column) -> Column:
@@ -87,20 +107,26 @@ def decode_references(text: Column) -> Column:
     table = F.from_json(F.lit(_reference_table()), "map<string,string>")
 
     def piece(p: Column, i: Column) -> Column:
-        token = F.regexp_extract(p, r"^([a-zA-Z][a-zA-Z0-9]*;?|#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};)", 1)
+        token = F.regexp_extract(p, r"^([a-zA-Z][a-zA-Z0-9]*+;?|#[0-9]++;?|#[xX][0-9a-fA-F]++;?)", 1)
         return let(token, lambda t: F.when(i == 0, p).otherwise(decoded(p, t)))
 
     def decoded(p: Column, token: Column) -> Column:
-        dec = F.regexp_extract(token, r"^#([0-9]+);", 1)
-        hexa = F.regexp_extract(token, r"^#[xX]([0-9a-fA-F]+);", 1)
+        dec = F.regexp_extract(token, r"^#([0-9]+)", 1)
+        hexa = F.regexp_extract(token, r"^#[xX]([0-9a-fA-F]+)", 1)
         char = (
             F.when(token == "", F.lit(None))
-            .when(F.try_element_at(table, token).isNotNull(), F.try_element_at(table, token))
-            .when(dec != "", _code_point(dec, 10))
-            .when(hexa != "", _code_point(hexa, 16))
+            .when(dec != "", _code_point(dec, 10, table))
+            .when(hexa != "", _code_point(hexa, 16, table))
+            .otherwise(F.try_element_at(table, token))
         )
+        # Else the longest beginning that is a name by itself.
+        opened = [
+            F.concat(F.try_element_at(table, F.substring(token, 1, n)), F.substr(p, F.lit(n + 1)))
+            for n in range(_OPEN_NAME, 1, -1)
+        ]
+        opened = [F.when(F.length(token) > n, x) for n, x in zip(range(_OPEN_NAME, 1, -1), opened)]
         rest = F.substr(p, F.length(token) + 1)
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), p))
+        return F.coalesce(F.concat(char, rest), *opened, F.concat(F.lit("&"), p))
 
     pieces = F.transform(F.split(text, "&", -1), piece)
     return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
@@ -133,6 +159,7 @@ def _bullet(line: Column) -> Column:
 def markdown_to_html(text: Column) -> Column:
     """Headings of level three, bold, italics and bullets as chat HTML; the rest is escaped."""
     out = html_escape(text)
+    # Headings, bold and italics as the messages write them.
     for pattern, tag in (
         (r"(?md)^### (.*?)$", "b"),
         (r"(?d)\*\*(.*?)\*\*", "b"),

@@ -43,6 +43,7 @@ UNKNOWN_UNIT = "?"
 
 VALID = "valid"
 INVALID = "invalid"
+BAD_AMOUNT = "bad_amount"
 
 
 def bill_matches(text: Column) -> Column:
@@ -80,6 +81,7 @@ def bill_fields(found: Column) -> dict[str, Column]:
     month = F.when(dated, group("period", PERIOD, 1)).otherwise(group("as_of", AS_OF, 2))
     total_area, living_area = group("apartment", APARTMENT, 3), group("apartment", APARTMENT, 4)
     bad_total = (found["total"] != "") & to_double(found["total"]).isNull()
+    too_large = to_double(found["total"]).isNotNull() & to_decimal(found["total"], MONEY).isNull()
     bad_area = (found["apartment"] != "") & (
         to_double(total_area).isNull() | to_double(living_area).isNull()
     )
@@ -95,7 +97,7 @@ def bill_fields(found: Column) -> dict[str, Column]:
         "living_area": to_double(living_area),
         "residents": found["residents"].try_cast("int"),
         "last_payment_date": blank_to_null(found["paid_on"]),
-        "defect": F.when(bad_total, F.lit("bad_total")).when(bad_area, F.lit("bad_area")),
+        "defect": F.when(bad_total, F.lit("bad_total")).when(bad_area, F.lit("bad_area")).when(too_large, F.lit(BAD_AMOUNT)),
     }
 
 
@@ -189,13 +191,18 @@ def _judged(candidate: Column) -> Column:
         & (F.coalesce(fields["month"], F.lit(0)) != 0)
         & ((candidate["kind"] == "text") | (F.size(candidate["services"]) > 0))
     )
+    # Tokens of service lines are numbers, so a NULL is one beyond the digits that are stored.
+    too_large = F.exists(candidate["services"], lambda s: s["quantity"].isNull() | s["amount_due"].isNull())
     return F.struct(
         candidate["part_idx"].alias("part_idx"),
         candidate["kind"].alias("kind"),
         *[column.alias(name) for name, column in fields.items()],
         candidate["services"].alias("services"),
         F.coalesce(
-            defect, F.when(complete, F.lit(VALID)).otherwise(F.lit(INVALID))
+            defect,
+            F.when(complete & too_large, F.lit(BAD_AMOUNT))
+            .when(complete, F.lit(VALID))
+            .otherwise(F.lit(INVALID)),
         ).alias("status"),
     )
 

@@ -29,7 +29,7 @@ _TEXT_NAME = """CASE
   WHEN {0} = 'Запирающее устр.' THEN 'Запирающее устройство'
   WHEN {0} = 'Обсл. шлагбаумов' THEN 'Шлагбаум' ELSE {0} END"""
 
-_ACCOUNT = "lpad(CAST({0} AS VARCHAR), 10, '0')"
+_ACCOUNT = "lpad(CAST({0} AS VARCHAR), greatest(10, length(CAST({0} AS VARCHAR))), '0')"
 
 _TABLES = f"""
 addresses AS (

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -14,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # Splits small enough that a sample fills the cores.
+    "spark.sql.files.maxPartitionBytes": "16m",
+    "spark.sql.files.openCostInBytes": "1m",
 }
 
 
@@ -38,34 +42,13 @@ def local_session(
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir`` that every executor can reach.
 
-    Only a local session may do without the setting; it gets a temporary folder.
+    Only a local session may do without the setting; it gets one temporary folder, removed at its end.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="kvitok-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def _estimated_bytes(source: DataFrame) -> int:
-    """The optimizer's estimate; nothing runs to find it."""
-    return int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def fill_cores(scan: DataFrame, bytes_per_task: int = 16 << 20) -> DataFrame:
-    """A small input usually lies in fewer file splits than there are cores: even it out.
-
-    Larger inputs are left alone, as their splits keep all cores busy and moving them costs more.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if _estimated_bytes(scan) >= cores * bytes_per_task:
-        return scan
-    return scan.repartition(cores)
-
-
-def spread(rows: DataFrame, source: DataFrame, bytes_per_task: int = 16 << 20) -> DataFrame:
-    """Even partitions for work that is heavy per row: at least one per core, more as ``source`` grows."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(cores, math.ceil(_estimated_bytes(source) / bytes_per_task)))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvitok.functions.numbers import MONEY, QUANTITY
-from kvitok.session import fill_cores, spread
 
 # Names as bills print them.
 RAW_SERVICES = (
@@ -50,8 +49,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def padded(text: Column, width: int) -> Column:
+    """Zeros up to a width; longer texts stay whole."""
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
 def _account(column: str) -> Column:
-    return F.lpad(F.col(column).cast("string"), 10, "0")
+    return padded(F.col(column).cast("string"), 10)
 
 
 def raw_service(key: Column) -> Column:
@@ -96,7 +100,7 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
 def charge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as charge lines with their arrival columns."""
     columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    items = fill_cores(table(spark, sf_dir, "lineitem").select(*columns, "l_shipdate"))
+    items = table(spark, sf_dir, "lineitem").select(*columns, "l_shipdate")
     heads = orders(spark, sf_dir).select("o_orderkey", "account_number", "year", "month")
     return items.join(heads, items.l_orderkey == heads.o_orderkey).select(
         "account_number",
@@ -218,18 +222,17 @@ def bill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n"),
         F.col("tail"),
     )
-    pad = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    pad = lambda c, n: padded(F.col(c).cast("string"), n)
     msg_id = F.concat_ws(
         "-",
         pad("l_orderkey", 12),
         pad("l_linenumber", 2),
         pad("l_partkey", 12),
         pad("l_suppkey", 12),
-        F.lpad(quantity, 12, "0"),
-        F.lpad(money, 16, "0"),
+        padded(quantity, 12),
+        padded(money, 16),
     )
-    # Writing and reading mail is heavy per row, so the small joined rows are spread first.
-    joined = spread(items.join(heads, items.l_orderkey == heads.o_orderkey), items)
+    joined = items.join(heads, items.l_orderkey == heads.o_orderkey)
     return (
         joined.select("*", msg_id.alias("msg_id"), head.alias("head"), lines.alias("lines"), tail.alias("tail"))
         .select(

@@ -1,5 +1,4 @@
 import html
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,30 +28,40 @@ def test_truncate(spark):
     assert run(spark, text.truncate_message, values) == [values[0], "я" * 4000 + "... (обрезано)", "x"]
 
 
-def expected_markdown(value):
-    """Line by line with the standard library, as a check of the native columns."""
-    value = html.escape(value)
-    value = re.sub(r"(?m)^### (.*?)$", r"<b>\1</b>", value)
-    value = re.sub(r"\*\*(.*?)\*\*", r"<b>\1</b>", value)
-    value = re.sub(r"(?<!\*)\*(?!\*)(.*?)(?<!\*)\*(?!\*)", r"<i>\1</i>", value)
-    lines = []
-    for line in value.split("\n"):
-        rest = line.lstrip()
-        if rest[:2] in ("* ", "- "):
-            line = " " * (len(line) - len(rest)) + "• " + rest[2:]
-        lines.append(line)
-    return "\n".join(lines)
+MARKDOWN = {
+    "### Итог\n**важно** и *курсив*\n* пункт\n\t- вложенный\n": (
+        "<b>Итог</b>\n<b>важно</b> и <i>курсив</i>\n• пункт\n • вложенный\n"
+    ),
+    "a * b * c\n** x **\n***": "a <i> b </i> c\n<b> x </b>\n***",
+    "### \n- < & >\n\xa0* неразрывный": "<b></b>\n• &lt; &amp; &gt;\n • неразрывный",
+    "текст\r\n### не в начале\rстроки": "текст\r\n<b>не в начале\rстроки</b>",
+    "*один\nдва*": "*один\nдва*",
+}
 
 
 def test_markdown(spark):
-    values = [
-        "### Итог\n**важно** и *курсив*\n* пункт\n\t- вложенный\n",
-        "a * b * c\n** x **\n***",
-        "### \n- < & >\n * неразрывный",
-        "текст\r\n### не в начале\rстроки",
-        "*один\nдва*",
-    ]
-    assert run(spark, text.markdown_to_html, values) == [expected_markdown(v) for v in values]
+    assert run(spark, text.markdown_to_html, list(MARKDOWN)) == list(MARKDOWN.values())
+
+
+REFERENCES = {
+    "&copy2024 &copy; &notit; &notin;": "©2024 © ¬it; ∉",
+    "&#169 y &#00000169; &#xA9z &#x000000A9;": "© y © ©z ©",
+    "&#150; &#x96 &#0; &#99999999999999999999; &#xD800;": "– – \ufffd \ufffd \ufffd",
+    "a&#1;b &unknown; & &; &#; &#x;": "ab &unknown; & &; &#; &#x;",
+    "<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>": "漢",
+}
+
+
+def test_references_by_hand_and_by_the_markup_reader(spark):
+    got = run(spark, text.visible_text, list(REFERENCES))
+    assert got == list(REFERENCES.values())
+    assert [" ".join(TableReader().read(page)[0].split()) for page in REFERENCES] == got
+
+
+def test_long_tags(spark):
+    long = "x" * 1_000_000
+    pages = [f"a <b {long}> c", f"a <b {long}", "a <b " + "k='v' " * 20_000 + "> c", f"a <b c=\"{long}\"> d"]
+    assert run(spark, text.visible_text, pages) == ["a c", f"a <b {long}", "a c", "a d"]
 
 
 def test_visible_text(spark):
