@@ -29,7 +29,7 @@ _TEXT_NAME = """CASE
   WHEN {0} = 'Запирающее устр.' THEN 'Запирающее устройство'
   WHEN {0} = 'Обсл. шлагбаумов' THEN 'Шлагбаум' ELSE {0} END"""
 
-_ACCOUNT = "lpad(CAST({0} AS VARCHAR), greatest(10, length(CAST({0} AS VARCHAR))), '0')"
+_ACCOUNT = "lpad(CAST({0} AS VARCHAR), greatest(10, length(CAST({0} AS VARCHAR)))::INTEGER, '0')"
 
 _TABLES = f"""
 addresses AS (
@@ -85,10 +85,10 @@ _QUANTITY = "CAST(CAST({0} AS DECIMAL(18,3)) AS VARCHAR)"
 # What each sample message was written from, and what must come out of it.
 _MAIL = f"""
 mails AS (
-  SELECT concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), 12, '0'),
-      lpad(CAST(l_linenumber AS VARCHAR), 2, '0'), lpad(CAST(l_partkey AS VARCHAR), 12, '0'),
-      lpad(CAST(l_suppkey AS VARCHAR), 12, '0'), lpad({_QUANTITY.format("l_quantity")}, 12, '0'),
-      lpad({_MONEY.format("l_extendedprice")}, 16, '0')) AS msg_id,
+  SELECT concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), greatest(12, length(CAST(l_orderkey AS VARCHAR)))::INTEGER, '0'),
+      lpad(CAST(l_linenumber AS VARCHAR), greatest(2, length(CAST(l_linenumber AS VARCHAR)))::INTEGER, '0'), lpad(CAST(l_partkey AS VARCHAR), greatest(12, length(CAST(l_partkey AS VARCHAR)))::INTEGER, '0'),
+      lpad(CAST(l_suppkey AS VARCHAR), greatest(12, length(CAST(l_suppkey AS VARCHAR)))::INTEGER, '0'), lpad({_QUANTITY.format("l_quantity")}, greatest(12, length({_QUANTITY.format("l_quantity")}))::INTEGER, '0'),
+      lpad({_MONEY.format("l_extendedprice")}, greatest(16, length({_MONEY.format("l_extendedprice")}))::INTEGER, '0')) AS msg_id,
     l_shipdate AS received_at, l_linenumber AS kind, l_returnflag AS flag,
     account_number, address, "year", "month",
     NOT (l_linestatus = 'F' AND l_linenumber IN (2, 4)) AS accepted,

@@ -178,3 +178,14 @@ def test_triage_is_case_sensitive_and_decodes_headers(spark):
     assert messages.count() == 4
     kept = accept(messages, ("a@b.example", "me@", "Единый платежный документ"))
     assert [r.msg_id for r in kept.collect()] == ["m000.eml"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_headers_end_at_the_first_empty_line(end):
+    from kvitok.sources.mime import read_message
+
+    content = end.join(["From: a@b", "To: c@d", "Subject: x", "", "Subject: y", "", "body"]).encode()
+    read = read_message(content)
+    assert (read["h_from"], read["h_to"], read["h_subject"], read["problem"]) == ("a@b", "c@d", "x", None)
+    assert [p["body"].split() for p in read["parts"]] == [["Subject:", "y", "body"]]
+    assert read_message(content, ("z", "", ""))["parts"] == []
