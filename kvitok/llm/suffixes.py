@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from kvitok.llm.common import _OF_BYTE, PIECE_BYTES, hashes, mix, pieces, signed, small_batches, stored, table
 
 GRAM = 16
-HOT = 1000
+#: Runs of one anchor that a task ranks together: some 3 MB of strings and 50 MB of window ranks at most.
+HOT = 20_000
 #: Rows sorted or ranked at once within a task.
 BLOCK_ROWS = 100_000
 #: Versions of an id start so many positions apart.
