@@ -9,11 +9,15 @@ height 1 are opened up to the rank at which about ``K ln K + 2 K`` darts are see
 texts that lack a coordinate.
 
 Classes. Texts of equal sets collapse to one representative first. Representatives that share a band
-are compared with the band's smallest; pairs of a similarity of 0.8 or more, computed exactly from the
-sets, are links. Bands whose members lie in several classes afterwards go on, each round with twice as
-many centres as before, until every pair that shares a band is linked, in one class, or compared. So
-a band of thousands of copies costs rounds and not all its pairs, and no link between texts of a
-common band is lost. With 25 bands of 5 a pair of similarity 0.8 shares none in 1 of 20,000 cases.
+are compared with the band's centre; pairs of a similarity of 0.8 or more, computed exactly from the
+sets, are links. The centre is the member whose bands hold the most members in all: the text that a
+group's copies were made from shares more bands with them than they do with each other, and may be
+the only one that is near to all of them. Bands whose members lie in several classes afterwards go on, each round
+with more centres than before, until every pair that shares a band is linked, in one class, or
+compared. Before the sets of a pair are looked at, their sizes, and how many runs of each any other
+text holds, must allow the similarity; that drops pairs of copies with many changes of their own. So a
+band of thousands of copies costs rounds and few of its pairs, and no link between texts of a common
+band is lost. With 25 bands of 5 a pair of similarity 0.8 shares none in 1 of 20,000 cases.
 
 Hot bands and copies: counts and smallest members are combined before shuffles, joins have exchanges
 on both sides, and sets travel only for texts that share a band.
@@ -192,11 +196,14 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, bands: in
     members = worded.select("doc_id", *key).join(reps, key).select("doc_id", "rep").distinct()
     # A representative's bands: rows of its id whose set is the one it stands for.
     chosen = worded.join(reps.select(*key, "rep"), key).where("doc_id = rep").select(F.col("rep").alias("id"), F.explode(F.array_distinct("bands")).alias("band")).distinct()
-    shared = chosen.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    shared = chosen.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     places = stored(chosen.join(stored(shared, "near-bands"), "band"), "near-places")
-    wanted = stored(places.select("id").distinct(), "near-ids")
-    bodies = own.join(wanted, own.doc_id == wanted.id).select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(shingle, weights), "id long, body binary")
+    # place: the order in which members become centres, most companions first, then by id.
+    wanted = stored(places.groupBy("id").agg((-F.sum("n")).alias("companions")), "near-ids")
+    places = stored(places.select("band", "id").join(wanted, "id").select("band", "id", F.struct("companions", "id").alias("place")), "near-ranked")
+    bodies = own.join(wanted.select("id"), own.doc_id == F.col("id")).select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(shingle, weights), "id long, body binary")
     bodies = stored(bodies.where(F.length("body") > 0), "near-sets")
+    places = stored(places.join(_held(bodies, weights), "id"), "near-bounded")
     links = _links(places, bodies, least, weights)
     # Texts that share an id hold their classes together.
     tied = members.join(members.groupBy("doc_id").agg(F.min("rep").alias("other")), "doc_id").where("rep != other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
@@ -208,14 +215,49 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, bands: in
     return classed.unionByName(alone).unionByName(nulls)
 
 
+def _held(bodies: DataFrame, weights: str) -> DataFrame:
+    """For each id the size of its set, and how much of it another id holds too: the most that two can share.
+
+    Copies with many changes of their own cannot be near to each other, however many bands they share,
+    and this tells so without a look at their sets. Weighted sets go without the bound.
+    """
+    ids = bodies.select("id").distinct()
+    if weights != "set":
+        return ids.select("id", F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("held"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                sets = [np.frombuffer(b, np.uint64) for b in part.column(1).to_pylist()]
+                own = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(signed(np.concatenate(sets)))], ["id", "shingle"])
+
+    each = bodies.select("id", "body").mapInArrow(shingles, "id long, shingle long")
+    alone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = bodies.groupBy("id").agg((F.max(F.length("body")) / 8).cast("long").alias("size"), F.count(F.lit(1)).alias("rows"))
+    # An id with several texts has several sets; it goes without the bound.
+    joined = sizes.join(alone, "id", "left")
+    return joined.select("id", F.when(F.col("rows") == 1, F.col("size")).otherwise(0).alias("size"), F.when(F.col("rows") == 1, F.col("size") - F.coalesce("alone", F.lit(0))).otherwise(0).alias("held"))
+
+
+def _may_be_near(least: float):
+    """Whether two ids could reach the similarity by their sizes and what they share with anyone."""
+    most = F.least("held", "c_held")
+    unbounded = (F.col("size") == 0) | (F.col("c_size") == 0)
+    return unbounded | (most * (1 + least) >= (F.col("size") + F.col("c_size")) * least - 1e-9)
+
+
 def _links(places: DataFrame, bodies: DataFrame, least: float, weights: str) -> DataFrame:
     """Links (a, b) that hold together all that are near among ids sharing a band.
 
-    Each round takes from every band with members in several classes its smallest members that were no
-    centre yet and are not of the largest centre's class, and compares them with members of other classes.
+    The first round compares every band's first member with the others. Each later one takes, from bands
+    with members in several classes, members that were no centre yet and lie outside the class of the
+    smallest root, and compares them with the members of other classes.
     """
     links = None
-    state = places.select("band", "id", F.col("id").alias("root"))
+    own = ("band", "id", "place", "size", "held")
+    state = places.select(*own, F.col("id").alias("root"))
     centres_so_far = None
     take = 1
     while True:
@@ -227,13 +269,12 @@ def _links(places: DataFrame, bodies: DataFrame, least: float, weights: str) ->
         else:
             open_ = open_.withColumn("used", F.lit(False))
         open_ = stored(open_, "near-open")
-        # In the first round the smallest; later those outside the class of the first, smallest first.
         candidates = open_.where("not used" + ("" if centres_so_far is None else " and root != low"))
-        centres = _smallest(candidates, take)
+        centres = _first(candidates, take)
         centres = stored(centres, "near-centres")
         if centres.isEmpty():
-            return links
-        pairs = open_.join(centres.select("band", F.col("id").alias("c"), F.col("root").alias("c_root")), "band").where("root != c_root")
+            return places.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false") if links is None else links
+        pairs = open_.join(centres.select("band", F.col("id").alias("c"), F.col("root").alias("c_root"), F.col("size").alias("c_size"), F.col("held").alias("c_held")), "band").where((F.col("root") != F.col("c_root")) & _may_be_near(least))
         pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         sides = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("left")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("right")), "b")
         near = sides.select("a", "b", "left", "right").mapInArrow(_verified(least, weights), "a long, b long").distinct()
@@ -241,17 +282,17 @@ def _links(places: DataFrame, bodies: DataFrame, least: float, weights: str) ->
         used = centres.select("band", "id", F.lit(True).alias("centre"))
         centres_so_far = used if centres_so_far is None else stored(centres_so_far.union(used), "near-used")
         roots = stored(connected(links), "near-roots")
-        state = open_.select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+        state = open_.select(*own).join(roots, "id", "left").select(*own, F.coalesce("root", "id").alias("root"))
         state = stored(state, "near-state")
-        take *= 2
+        take *= 16
 
 
-def _smallest(candidates: DataFrame, take: int) -> DataFrame:
-    """The ``take`` smallest ids of each band with their roots."""
+def _first(candidates: DataFrame, take: int) -> DataFrame:
+    """The first ``take`` members of each band with their roots."""
     if take == 1:
-        return candidates.groupBy("band").agg(F.min(F.struct("id", "root")).alias("x")).select("band", "x.id", "x.root")
-    ranked = candidates.withColumn("nth", F.row_number().over(Window.partitionBy("band").orderBy("id")))
-    return ranked.where(F.col("nth") <= take).select("band", "id", "root")
+        return candidates.groupBy("band").agg(F.min(F.struct("place", "root", "size", "held")).alias("x")).select("band", F.col("x.place.id").alias("id"), "x.root", "x.size", "x.held")
+    ranked = candidates.withColumn("nth", F.row_number().over(Window.partitionBy("band").orderBy("place")))
+    return ranked.where(F.col("nth") <= take).select("band", "id", "root", "size", "held")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
