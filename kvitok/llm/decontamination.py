@@ -101,7 +101,7 @@ def _scan(sizes: list[int], bits, n: int):
         for rows, texts in pieces(batches):
             words = Words(texts, ALNUM)
             own, room = words.hashes(), words.room()
-            at_all, size_all, hash_all = [], [], []
+            at_all, size_all, hash_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for size in sizes:
                 hash_ = chained(own, size)
                 at = np.flatnonzero((room >= size) & _maybe(bits.value, hash_))
