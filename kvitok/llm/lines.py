@@ -5,8 +5,11 @@ line and the one before it falls on one of ``1 / cut`` of its values, so equal p
 wherever they stand. Of equal chunks of two or more lines anywhere in the table, the one of the
 smallest (doc_id, number) stays and the others go, after their bytes are compared with its bytes.
 
-Only chunks that a first count by hash finds more than once are compared. All joins are plain
-equi-joins on hash or id whose inputs are exchanges, so Spark splits a hot chunk over tasks.
+Only chunks that a first count by hash finds more than once are compared. A bitmap of those hashes,
+``2 ** WORD_BITS`` rows of 64 bits at any size of input, keeps most other chunks out of the shuffle; the
+join on hash after it drops the rest, so a bitmap that is full costs shuffle and no result. It alone is
+broadcast. All other joins are plain equi-joins on hash or id whose inputs are exchanges, so Spark
+splits a hot chunk over tasks.
 
 Chunks of white space alone stay. Nulls and empty texts stay as they are. Rows of a null id stay whole
 and count for nothing. Rows that repeat an id and text are one document: their chunks stay or
@@ -23,6 +26,8 @@ from kvitok.llm.common import stored, table
 
 CUT = 3
 FACTOR = 31
+#: Rows of the bitmap as a power of two: at most 131,072 rows of 12 bytes are broadcast.
+WORD_BITS = 17
 
 
 def line_hash(line: Column) -> Column:
@@ -61,6 +66,22 @@ def chunk_id(chunk: Column) -> Column:
     return F.when(many, F.concat_ws(":", chunk["no"].cast("string"), F.xxhash64(chunk["body"]).cast("string")))
 
 
+def _bit(hash_: Column) -> Column:
+    """The bit of a hash within its word of the bitmap."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hash_, WORD_BITS).bitwiseAND(63).cast("int"))
+
+
+def _word(hash_: Column) -> Column:
+    return hash_.bitwiseAND((1 << WORD_BITS) - 1).cast("int")
+
+
+def maybe_among(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``rows`` whose ``hash`` may be one of ``hashes``; none that is one is lost."""
+    own = F.col("hash")
+    bitmap = hashes.groupBy(_word(own).alias("_word")).agg(F.bit_or(_bit(own)).alias("_bits"))
+    return rows.join(F.broadcast(bitmap), (_word(own) == F.col("_word")) & (_bit(own).bitwiseAND(F.col("_bits")) != 0)).select(rows.columns)
+
+
 def repeated_chunks(docs: DataFrame, cut: int = CUT) -> DataFrame:
     """id and chunk_id of all chunks that go."""
     one = docs.where(F.col("doc_id").isNotNull() & F.col("text").contains("\n"))
@@ -68,7 +89,8 @@ def repeated_chunks(docs: DataFrame, cut: int = CUT) -> DataFrame:
     one = one.select("doc_id", F.col("c.no").alias("no"), F.xxhash64("c.body").alias("hash"), F.col("c.body").alias("body"))
     first = F.min(F.struct("doc_id", "no"))
     counted = one.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1").select("hash", "first")
-    found = stored(one.join(stored(counted, "line-hashes"), "hash").withColumn("is_first", F.struct("doc_id", "no") == F.col("first")).drop("first"), "line-chunks")
+    counted = stored(counted, "line-hashes")
+    found = stored(maybe_among(one, counted.select("hash")).join(counted, "hash").withColumn("is_first", F.struct("doc_id", "no") == F.col("first")).drop("first"), "line-chunks")
     firsts = found.where("is_first").groupBy("hash").agg(F.min("body").alias("first_body"))
     alike = found.where("not is_first").join(stored(firsts, "line-firsts"), "hash").where("body = first_body")
     return alike.select("doc_id", F.concat_ws(":", F.col("no").cast("string"), F.col("hash").cast("string")).alias("chunk_id"))
