@@ -62,6 +62,15 @@ def test_mixing(spark):
     assert set(Counter(r.source for r in mix_sources(frame(spark, rows), {"small": 1.0}).collect())) == {"small"}
 
 
+def test_mixing_of_rare_and_of_many_sources(spark):
+    n = 160_000
+    rare = spark.range(n).selectExpr("id as doc_id", "if(id = 7, null, concat('s', id % 19)) as source")
+    by = Counter(r.source for r in mix_sources(rare).collect())
+    assert len(by) == 20 and all(abs(c - n / 20) < 500 for c in by.values())
+    many = mix_sources(spark.range(10_500).selectExpr("id as doc_id", "cast(id as string) as source"))
+    assert abs(many.count() - 10_500) < 500
+
+
 def test_tokens(spark):
     import public_tokenizers
 
