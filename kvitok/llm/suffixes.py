@@ -62,6 +62,7 @@ def ranks(data: np.ndarray, length: int) -> np.ndarray:
 def anchors(data: np.ndarray, width: int) -> np.ndarray:
     """For each string of ``width`` bytes the position of its first smallest rank."""
     r = ranks(data, GRAM)
+    assert len(r) <= 1 << 24, "a place has 24 bits beside its rank"
     low = (r.astype(np.uint64) << _U(24)) | np.arange(len(r), dtype=np.uint64)
     span, done = width - GRAM + 1, 1
     while 2 * done <= span:
@@ -81,10 +82,25 @@ def segments(texts: list[bytes | None], width: int) -> Iterator[tuple[int, int,
 
 
 def runs(texts: list[bytes | None], width: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: text number, first window, windows, rank of the anchor, rank of the run."""
-    parts = list(segments(texts, width))
-    if not parts:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    """Runs of windows with one anchor: text number, first window, windows, rank of the anchor, rank of the run.
+
+    Segments are joined up to about ``PIECE_BYTES``, so that places fit beside ranks in a text of any length.
+    """
+    done: list[tuple[np.ndarray, ...]] = [tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))]
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for part in segments(texts, width):
+        if held and size + len(part[2]) > PIECE_BYTES + width - 1:
+            done.append(_runs_of(held, width))
+            held, size = [], 0
+        held.append(part)
+        size += len(part[2])
+    if held:
+        done.append(_runs_of(held, width))
+    return tuple(np.concatenate(c) for c in zip(*done, strict=True))
+
+
+def _runs_of(parts: list[tuple[int, int, bytes]], width: int) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(p[2]) for p in parts])
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)

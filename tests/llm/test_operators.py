@@ -33,6 +33,17 @@ def test_passages(spark):
     assert dedup_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_behind_16_mib(spark):
+    rng = random.Random(11)
+    passage = "".join(rng.choices("abcdefg ", k=700))
+    long = rng.randbytes((1 << 24) + 300_000).translate(bytes(65 + b % 26 for b in range(256))).decode()
+    at = (1 << 24) + 150_000
+    rows = [(1, "1" + passage), (2, long[:at] + passage + long[at:]), (3, "3" + long[at + 1000 : at + 2000])]
+    got = {r.doc_id: tuple(r)[1:] for r in dedup_passages(frame(spark, rows)).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (701, 0, 0, digest(rows[0][1])), 2: (len(long) + 700, 700, 1, digest(long)), 3: (1001, 1000, 1, digest("3"))}
+
+
 def test_contamination(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j k l", "x"), (2, "Tiny item", "x"), (3, "", "x"), (4, None, "x"), (None, "q r", "x")], "item_id long, text string, doc_id string")
     rows = [(1, "z A b c d e f g h i j z a tiny ITEM."), (2, "a b c d e f g h i"), (3, None), (4, ""), (5, "tiny item " * 2000), (1, "clean")]
