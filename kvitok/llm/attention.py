@@ -3,10 +3,13 @@
 Every subword attends to those before it in its context window; what it gathers, and a term of its
 own, give weights of ``EXPERTS`` distributions over the next subword, whose mixture is the prediction.
 So probabilities sum to 1 without a softmax over the vocabulary. Keys, queries and values are looked up
-by id, with a bias by distance. Ids that the sample lacks share one entry evenly.
+by id, with a bias by distance. Ids that the training texts lack share one entry evenly.
 
-Training: the own term and the distributions start from expectation maximisation on pairs; then the
-attention learns by gradient steps, and the distributions by further expectation steps.
+Training: the own term and the distributions start from expectation maximisation on the counts of all
+pairs, whose sums are added up over parts of the pairs. Then parts of the texts learn apart from that
+start, by a gradient step on each batch of their windows; an entry's mean over the parts, weighed by how
+often it stands in each, is the attention, and the distributions are one more expectation step over
+all places of all parts.
 
 Scoring: windows of ``CONTEXT + STEP`` subwords overlap by ``CONTEXT``; a batch of windows is one masked
 attention, in which the last ``STEP`` subwords of each window are scored, so each is scored once.
@@ -105,46 +108,49 @@ def _distances() -> np.ndarray:
     return np.arange(CONTEXT - 1, CONTEXT + STEP - 1)[:, None] - np.arange(CONTEXT + STEP - 1)[None, :]
 
 
-def _pairs(stream: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    same = text[1:] == text[:-1]
-    cell, count = np.unique(stream[:-1][same].astype(np.int64) * n + stream[1:][same], return_counts=True)
-    return cell // n, cell % n, count.astype(np.float64)
-
-
 def _columns(totals: np.ndarray, smooth: float, base: np.ndarray) -> np.ndarray:
     """Distributions over entries, one a column, smoothed towards the base distribution."""
     return (totals + smooth * base[:, None]) / (totals.sum(axis=0, keepdims=True) + smooth)
 
 
-def train(streams: list[np.ndarray], vocabulary: int, begin: int, seed: int = 5, pair_steps: int = 40, steps: int = 120, rate: float = 0.03) -> Model:
-    """A model of texts of subword ids, each with the id of the end; ``begin`` is put before each."""
-    rng = np.random.default_rng(seed)
-    known = np.unique(np.concatenate([np.array([begin]), *streams])) if streams else np.array([begin])
-    entry = np.full(vocabulary, len(known), np.int64)
-    entry[known] = np.arange(len(known))
-    n = len(known) + 1
-    stream = np.concatenate([np.zeros(0, np.int64)] + [x for s in streams for x in (np.array([entry[begin]]), entry[s])])
-    text = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])
-    base = np.bincount(stream, minlength=n) + 0.5
-    base[entry[begin]] = 0.0  # never predicted
-    base = base / base.sum()
-    x, y, c = _pairs(stream, text, n) if len(stream) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    own, expert = rng.dirichlet(np.ones(EXPERTS), n), _columns(rng.random((n, EXPERTS)) * base[:, None], 0.1, base)
-    for _ in range(pair_steps):
-        post = own[x] * expert[y]
-        post *= (c / post.sum(axis=1))[:, None]
-        own = np.stack([np.bincount(x, post[:, k], n) for k in range(EXPERTS)], axis=1) + 0.2 / EXPERTS
-        own /= own.sum(axis=1, keepdims=True)
-        expert = _columns(np.stack([np.bincount(y, post[:, k], n) for k in range(EXPERTS)], axis=1), 50.0, base)
-    f = np.float32
-    tables = {
-        "query": rng.normal(0, 0.3, (n, KEY)).astype(f), "key": rng.normal(0, 0.3, (n, KEY)).astype(f), "value": rng.normal(0, 0.02, (n, EXPERTS)).astype(f),
-        "own": np.log(own).astype(f), "expert": expert.astype(f), "bias": (-0.1 * np.arange(CONTEXT + STEP)).astype(f),
-    }
-    model = Model(tables, entry, 1.0 / max(1, vocabulary - len(known)))
-    if len(stream) > 1:
-        _learn(model, *windows(stream, text), rng, steps, rate, base, entry[begin])
-    return model
+class Start:
+    """What training starts from: entries of the known ids, their shares, and random own terms and distributions."""
+
+    def __init__(self, known: np.ndarray, counts: np.ndarray, vocabulary: int, begin: int, seed: int = 5) -> None:
+        """known: ids that the texts hold, in order and ``begin`` among them; counts: how often each follows another."""
+        rng = np.random.default_rng(seed)
+        self.n, self.begin = len(known) + 1, int(np.searchsorted(known, begin))
+        self.entry = np.full(vocabulary, len(known), np.int64)
+        self.entry[known] = np.arange(len(known))
+        self.share = 1.0 / max(1, vocabulary - len(known))
+        base = np.append(counts, 0) + 0.5
+        base[self.begin] = 0.0  # never predicted
+        self.base = base / base.sum()
+        self.own = rng.dirichlet(np.ones(EXPERTS), self.n)
+        self.expert = _columns(rng.random((self.n, EXPERTS)) * self.base[:, None], 0.1, self.base)
+        self.normal = rng.normal(0, 1, (self.n, 2 * KEY + EXPERTS))
+
+    def take(self, sums: np.ndarray) -> None:
+        """A step of expectation maximisation from ``pair_sums`` over all pairs."""
+        own = sums[:, :EXPERTS] + 0.2 / EXPERTS
+        self.own = own / own.sum(axis=1, keepdims=True)
+        self.expert = _columns(sums[:, EXPERTS:], 50.0, self.base)
+
+    def model(self) -> Model:
+        f = np.float32
+        query, key, value = np.split(self.normal, [KEY, 2 * KEY], axis=1)
+        tables = {
+            "query": (0.3 * query).astype(f), "key": (0.3 * key).astype(f), "value": (0.02 * value).astype(f),
+            "own": np.log(self.own).astype(f), "expert": self.expert.astype(f), "bias": (-0.1 * np.arange(CONTEXT + STEP)).astype(f),
+        }
+        return Model(tables, self.entry, self.share)
+
+
+def pair_sums(own: np.ndarray, expert: np.ndarray, x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """How much of the pairs (x, y), each c times, falls to each expert: by x and, in further columns, by y."""
+    post = own[x] * expert[y]
+    post *= (c / post.sum(axis=1))[:, None]
+    return np.concatenate((_summed(x, post, len(own)), _summed(y, post, len(own))), axis=1)
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -153,17 +159,34 @@ def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], axis=1)
 
 
-def _learn(model: Model, ids: np.ndarray, of: np.ndarray, rng: np.random.Generator, steps: int, rate: float, base: np.ndarray, begin: int) -> None:
-    t = model.tables
-    moved = ("query", "key", "value", "own", "bias")
-    first, second = ({k: np.zeros_like(t[k]) for k in moved} for _ in range(2))
-    totals = np.zeros(t["expert"].shape)
-    distance = np.maximum(_distances(), 0)
-    for step in range(1, steps + 1):
-        pick = rng.integers(0, len(ids), min(BATCH, len(ids)))
-        a, o = ids[pick], of[pick]
+#: Tables that gradient steps move, by id, and their columns.
+MOVED = {"query": KEY, "key": KEY, "value": EXPERTS, "own": EXPERTS}
+
+
+class Learner:
+    """Gradient steps from a model over windows, and the expectations of all places they saw."""
+
+    def __init__(self, model: Model, seed: int, rate: float = 0.03) -> None:
+        self.model = Model({k: v.copy() for k, v in model.tables.items()}, model.entry, model.share)
+        self.rng, self.rate, self.steps = np.random.default_rng(seed), rate, 0
+        self.first, self.second = ({k: np.zeros_like(self.model.tables[k]) for k in (*MOVED, "bias")} for _ in range(2))
+        self.totals = np.zeros(self.model.tables["expert"].shape)
+        self.seen = np.zeros(len(self.totals))
+
+    def see(self, stream: np.ndarray, text: np.ndarray, passes: int) -> None:
+        """Steps over all windows of a stream of entries, each ``passes`` times."""
+        ids, of = windows(stream, text)
+        self.seen += np.bincount(stream, minlength=len(self.seen))
+        for _ in range(passes):
+            order = self.rng.permutation(len(ids))
+            for k in range(0, len(order), BATCH):
+                self._step(ids[order[k : k + BATCH]], of[order[k : k + BATCH]])
+
+    def _step(self, a: np.ndarray, o: np.ndarray) -> None:
+        t, distance = self.model.tables, np.maximum(_distances(), 0)
+        self.steps += 1
         given, asking, target = a[:, :-1], a[:, CONTEXT - 1 : -1], a[:, CONTEXT:]
-        z, weight, _, seen = model.attended(a, o)
+        z, weight, _, seen = self.model.attended(a, o)
         joint = z * t["expert"][target]
         post = joint / np.maximum(joint.sum(axis=-1, keepdims=True), 1e-30)
         valid = ((o[:, CONTEXT:] >= 0) & (o[:, CONTEXT:] == o[:, CONTEXT - 1 : -1]))[..., None]
@@ -176,13 +199,32 @@ def _learn(model: Model, ids: np.ndarray, of: np.ndarray, rng: np.random.Generat
             "query": _summed(asking, np.matmul(by_score, t["key"][given]), n), "key": _summed(given, np.matmul(by_score.transpose(0, 2, 1), t["query"][asking]), n),
             "bias": np.bincount(distance.ravel(), by_score.sum(axis=0).ravel(), len(t["bias"])),
         }
-        for k in moved:  # Adam, uphill
-            first[k] = 0.9 * first[k] + 0.1 * grads[k]
-            second[k] = 0.99 * second[k] + 0.01 * grads[k] ** 2
-            t[k] += (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        flat, share = target[valid[..., 0]], post[valid[..., 0]]
-        totals *= 0.97
-        for k in range(EXPERTS):
-            totals[:, k] += np.bincount(flat, share[:, k], len(totals))
-        if step >= 20:
-            t["expert"] = _columns(totals, 50.0, base).astype(np.float32)
+        for k, grad in grads.items():  # Adam, uphill
+            first, second, grad = self.first[k], self.second[k], grad.astype(np.float32)
+            first *= 0.9
+            first += 0.1 * grad
+            second *= 0.99
+            second += 0.01 * grad**2
+            t[k] += (self.rate / (1 - 0.9**self.steps)) * first / (np.sqrt(second / (1 - 0.99**self.steps)) + 1e-8)
+        self.totals += _summed(target[valid[..., 0]], post[valid[..., 0]], n)
+
+    def by_entry(self) -> np.ndarray:
+        """How often each entry stood, its moved tables as often, and its expectations: a row each."""
+        t = self.model.tables
+        return np.concatenate((self.seen[:, None], *[self.seen[:, None] * t[k] for k in MOVED], self.totals), axis=1)
+
+    def by_step(self) -> np.ndarray:
+        return np.concatenate(([self.steps], self.steps * self.model.tables["bias"]))
+
+
+def mean_model(start: Model, base: np.ndarray, by_entry: np.ndarray, by_step: np.ndarray) -> Model:
+    """The model of parts that learned apart, from the sums of what they found; entries that none saw stay."""
+    f, t = np.float32, dict(start.tables)
+    seen, at = by_entry[:, :1], 1
+    for k, width in MOVED.items():
+        t[k] = np.where(seen > 0, by_entry[:, at : at + width] / np.maximum(seen, 1), t[k]).astype(f)
+        at += width
+    if by_step[0]:
+        t["bias"] = (by_step[1:] / by_step[0]).astype(f)
+        t["expert"] = _columns(by_entry[:, at:], 50.0, base).astype(f)
+    return Model(t, start.entry, start.share)

@@ -2,7 +2,9 @@
 
 A text's tokens are its words, lower-cased, and one end. A word's probability is the mean of two: what
 the attention model gives its subwords one after the other, and its add-one share of all training
-tokens. The model learns from a bounded sample of the training texts; the counts cover all of them.
+tokens. Both learn from all training texts: the counts of words and of pairs of subwords are summed over
+them, and tasks learn the attention apart from all windows of their texts, which are then averaged. So
+the attention's share of a score depends a little on how the rows are dealt to tasks.
 
 Tasks gather texts into blocks of about ``BLOCK_BYTES`` and count each block's distinct words, so the
 shuffle carries a word once a block and not once a place. Counts are summed by word and go back to the
@@ -25,12 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvitok.llm.attention import Model, load_subwords, train
+from kvitok.llm.attention import BATCH, EXPERTS, STEP, Learner, Model, Start, load_subwords, mean_model, pair_sums
 from kvitok.llm.common import LOWER, NOT_SPACE, PIECE_BYTES, Words, lists, pieces, remainder, signed, small_batches, stored, table
 
 BLOCK_BYTES = 16 << 20
-#: Texts to learn the attention from, the first by a hash of their ids, and their longest length.
-SAMPLE, SAMPLE_CHARS = 1500, 20_000
+#: Bytes of text that a task learns the attention from, and that it reads at once, unless one text is longer.
+LEARN_BYTES, READ_BYTES = 32 << 20, 4 << 20
+#: Steps of expectation maximisation on pairs, and pairs of a task; least gradient steps of a task.
+PAIR_STEPS, PAIR_ROWS, LEAST_STEPS = 40, 1 << 20, 120
+#: Pairs computed at once, and entries whose sums travel together.
+PAIR_BLOCK, SLICE = 1 << 16, 128
 #: Share of the corpus counts in a word's probability.
 COUNTS = 0.5
 #: Hash that stands for the end of a text.
@@ -157,16 +163,132 @@ def _scores(sent, path: str, pattern: str, tokens: int, distinct: int):
     return work
 
 
-def learn(docs: DataFrame, path: str, pattern: str) -> Model:
-    """The attention model from a bounded sample of the rows that may be learned from."""
-    picked = docs.where("learns and doc_id is not null").select("doc_id", F.length("text").alias("n")).where(F.col("n") <= SAMPLE_CHARS)
-    picked = stored(picked.select("doc_id").distinct().sort(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "scoring-sample")
-    found = docs.join(picked, "doc_id").where(F.length("text") <= SAMPLE_CHARS).select("doc_id", F.col("text").cast("binary").alias("text")).distinct().toArrow().to_pylist()
-    texts = [bytes(r["text"]).translate(_LOWER) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
+def _streams(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Subword ids of runs of texts, each text with its begin and end, and the text number of each."""
     subwords = load_subwords(path, pattern)
-    vocabulary = subwords.n_vocab + 2
-    streams = [np.array([*(x for w in t.split() for x in subwords.encode_ordinary(" " + w.decode())), vocabulary - 1]) for t in texts]
-    return train(streams, vocabulary, vocabulary - 2)
+    begin, end = subwords.n_vocab, subwords.n_vocab + 1
+
+    def read(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        hash_, doc, body = _words(texts, keep_words=True)
+        _, head, place = np.unique(hash_, return_index=True, return_inverse=True)
+        ids = [subwords.encode_ordinary(" " + body[k].decode()) if body[k] else [end] for k in head]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((x for y in ids for x in y), np.int64, int(sizes.sum()))
+        first = np.cumsum(sizes) - sizes
+        n = sizes[place] + np.concatenate(([True], doc[1:] != doc[:-1]))
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) - np.repeat(ends - sizes[place], n)
+        return np.where(at < 0, begin, flat[np.where(at < 0, 0, first[np.repeat(place, n)] + at)]), np.repeat(doc, n)
+
+    held: list[bytes] = []
+    for _, texts in pieces(batches):
+        held += [t or b"" for t in texts]
+        if sum(map(len, held)) >= READ_BYTES:
+            yield read(held)
+            held = []
+    if held:
+        yield read(held)
+
+
+def _pairs(path: str, pattern: str, vocabulary: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stream, text in _streams(batches, path, pattern):
+            same = text[1:] == text[:-1]
+            cell, n = np.unique(stream[:-1][same] * vocabulary + stream[1:][same], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell // vocabulary), pa.array(cell % vocabulary), pa.array(n.astype(np.int64))], ["x", "y", "n"])
+
+    return work
+
+
+def _sliced(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of sums that are not all zero, some entries together."""
+    for k in range(0, len(sums), SLICE):
+        part = sums[k : k + SLICE]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["slice", "body"])
+
+
+def _added(parts: pa.Table) -> pa.Table:
+    whole = sum(np.frombuffer(b.as_py(), np.float32).astype(np.float64) for b in parts.column("body"))
+    return pa.table({"slice": parts.column("slice").slice(0, 1), "body": pa.array([whole.astype(np.float32).tobytes()], pa.binary())})
+
+
+def _gathered(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums over all tasks, by slice; as many as there are entries, at any size of input."""
+    found = parts.groupBy("slice").applyInArrow(_added, "slice int, body binary").toArrow()
+    return {s: np.frombuffer(b, np.float32) for s, b in zip(found.column("slice").to_pylist(), found.column("body").to_pylist(), strict=True)}
+
+
+def _whole(found: dict[int, np.ndarray], n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, width))
+    for k, body in found.items():
+        if k >= 0:
+            out[k : k + SLICE] = body.reshape(-1, width)
+    return out
+
+
+def _pair_step(sent):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, expert, entry = sent.value
+        sums = np.zeros((len(own), 2 * EXPERTS))
+        held: list[pa.RecordBatch] = []
+
+        def add() -> None:
+            block = pa.Table.from_batches(held)
+            x, y, c = (block.column(k).to_numpy() for k in ("x", "y", "n"))
+            np.add(sums, pair_sums(own, expert, entry[x], entry[y], c.astype(np.float64)), out=sums)
+            held.clear()
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PAIR_BLOCK:
+                add()
+        if held:
+            add()
+        yield from _sliced(sums)
+
+    return work
+
+
+def _learned(sent, path: str, pattern: str, passes: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(sent.value, TaskContext.get().partitionId())
+        for stream, text in _streams(batches, path, pattern):
+            learner.see(learner.model.entry[stream], text, passes)
+        if learner.steps:
+            yield from _sliced(learner.by_entry())
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([learner.by_step().astype(np.float32).tobytes()], pa.binary())], ["slice", "body"])
+
+    return work
+
+
+def learn(docs: DataFrame, n_bytes: int, path: str, pattern: str) -> Model:
+    """The attention model from all rows that may be learned from, of ``n_bytes`` in all."""
+    context = docs.sparkSession.sparkContext
+    texts = docs.where("learns and doc_id is not null").select("text")
+    begin = load_subwords(path, pattern).n_vocab
+    vocabulary = begin + 2
+    pairs = texts.mapInArrow(_pairs(path, pattern, vocabulary), "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    pairs = stored(pairs, "scoring-pairs")
+    follow = pairs.groupBy("y").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs")).sort("y").toArrow()  # at most the vocabulary
+    ids, n = follow.column("y").to_numpy(), follow.column("n").to_numpy()
+    start = Start(np.append(ids, begin)[np.argsort(np.append(ids, begin))], np.append(n, 0)[np.argsort(np.append(ids, begin))], vocabulary, begin)
+    if not len(ids):
+        return start.model()
+    tasks = -(-int(follow.column("pairs").to_numpy().sum()) // PAIR_ROWS)
+    for _ in range(PAIR_STEPS):
+        sent = context.broadcast((start.own, start.expert, start.entry))
+        start.take(_whole(_gathered(pairs.coalesce(tasks).mapInArrow(_pair_step(sent), "slice int, body binary")), start.n, 2 * EXPERTS))
+        sent.destroy()
+    tasks = max(1, -(-n_bytes // LEARN_BYTES))
+    passes = max(1, -(-LEAST_STEPS * BATCH * STEP * tasks // int(n.sum())))
+    passes = min(passes, LEAST_STEPS)
+    model = start.model()
+    sent = context.broadcast(model)
+    found = _gathered(texts.coalesce(tasks).mapInArrow(_learned(sent, path, pattern, passes), "slice int, body binary"))
+    sent.destroy()
+    width = Learner(model, 0).by_entry().shape[1]
+    return mean_model(model, start.base, _whole(found, start.n, width), found[-1])
 
 
 def score_texts(docs: DataFrame, may_learn, path: str, pattern: str) -> DataFrame:
@@ -177,12 +299,13 @@ def score_texts(docs: DataFrame, may_learn, path: str, pattern: str) -> DataFram
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(may_learn, F.lit(False)).alias("learns"))
-    model = learn(rows, path, pattern)
     schema = "block long, ids array<long>, learns array<boolean>, sizes array<long>, packed binary, words array<long>, counts array<long>"
     blocks = stored(rows.mapInArrow(_blocks, schema), "scoring-blocks")
     words = blocks.select("block", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("block", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     counted = stored(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "scoring-counts")
     tokens, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    n_bytes = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
+    model = learn(rows, n_bytes, path, pattern)
     # A block knows the count of a word that it alone holds.
     more = words.join(counted, "word").where("c > n").select(F.col("block").alias("of"), "word", "c")
     sent = spark.sparkContext.broadcast(model)

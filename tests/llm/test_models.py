@@ -46,3 +46,15 @@ def test_scores(spark):
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score <= 0 and math.isfinite(r.score) for r in got)
     assert score_texts(docs.where("false"), F.lit(True), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_attention_learns_from_long_texts(spark):
+    import public_tokenizers as P
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(50)]
+    rows = [(k, " ".join(rng.choices(words, k=20)), "x") for k in range(30) if k % 7 != 2]
+    rows += [(101, "alpha beta gamma " * 3000, "x"), (2, "alpha beta gamma " * 20, "x")]
+    got = score_texts(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") % 7 != 2, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    (held_out,) = [r for r in got if r.doc_id == 2]
+    assert held_out.attention_score / held_out.n_tokens > -1
