@@ -3,6 +3,7 @@
 from kvitok.llm.decontamination import OP2_SQL, op2_decontamination
 from kvitok.llm.filter_audit import OP13_SQL, op13_filter_audit
 from kvitok.llm.languages import op5_language_id
+from kvitok.llm.license_scan import op11_license_scan
 from kvitok.llm.lines import OP4_SQL, op4_line_dedup
 from kvitok.llm.mixing import op8_mixing
 from kvitok.llm.mixing_sql import OP8_SQL
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_lm_scores": op10_lm_scores,
+    "op11_license_scan": op11_license_scan,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_filter_audit": op13_filter_audit,
 }
