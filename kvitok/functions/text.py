@@ -9,22 +9,11 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kvitok.functions.markup import MARKUP, SHOWN
+
 # Fixed value: whitespace as Unicode defines it, plus the four separator controls.
 _SPACE = r"[\s\x1c-\x1f]"
 
-# Markup: comments, elements whose content is never shown, declarations, tags.
-_MARKUP = (
-    r"(?is)<!--.*?-->"
-    r"|<script\b[^>]*>.*?</script\s*>"
-    r"|<style\b[^>]*>.*?</style\s*>"
-    r"|<template\b[^>]*>.*?</template\s*>"
-    r"|<[!?][^>]*>"
-    r"|<rt\b[^>]*>.*?</rt\s*>"
-    r"|<rp\b[^>]*>.*?</rp\s*>"
-    # Possessive runs: the matcher keeps no state for each character of a long tag.
-    r"""|</?[a-z](?:"[^"]*+"|'[^']*+'|[^'">]++)*+>"""
-)
-
 # Message limit and the marker added when a message is cut.
 MESSAGE_LIMIT = 4000
 CUT_MARKER = "... (обрезано)"
@@ -108,14 +97,13 @@ def decode_references(text: Column) -> Column:
 
     def piece(p: Column, i: Column) -> Column:
         token = F.regexp_extract(p, r"^([a-zA-Z][a-zA-Z0-9]*+;?|#[0-9]++;?|#[xX][0-9a-fA-F]++;?)", 1)
-        return let(token, lambda t: F.when(i == 0, p).otherwise(decoded(p, t)))
+        return let(token, lambda t: F.when(i == 0, p).when(t == "", F.concat(F.lit("&"), p)).otherwise(decoded(p, t)))
 
     def decoded(p: Column, token: Column) -> Column:
         dec = F.regexp_extract(token, r"^#([0-9]+)", 1)
         hexa = F.regexp_extract(token, r"^#[xX]([0-9a-fA-F]+)", 1)
         char = (
-            F.when(token == "", F.lit(None))
-            .when(dec != "", _code_point(dec, 10, table))
+            F.when(dec != "", _code_point(dec, 10, table))
             .when(hexa != "", _code_point(hexa, 16, table))
             .otherwise(F.try_element_at(table, token))
         )
@@ -136,9 +124,9 @@ def visible_text(html: Column) -> Column:
     """Text a reader sees: no scripts, styles, comments or tags; references decoded.
 
     One pattern covers all markup, so whichever item opens first wins, and each
-    becomes one space. Only native expressions are used.
+    becomes one space. It reads a text in linear time. Only native expressions are used.
     """
-    bare = F.regexp_replace(html, _MARKUP, " ")
+    bare = F.regexp_replace(html, MARKUP, SHOWN)
     return collapse_whitespace(let(bare, decode_references))
 
 

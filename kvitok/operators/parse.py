@@ -140,18 +140,26 @@ def _is_service_row(cells: Column) -> Column:
     )
 
 
-def html_services(tables: Column) -> Column:
-    """Service rows of the first table that has the most of them."""
+def html_services(rows: Column) -> Column:
+    """Service rows of the first table that has the most of them. A row names all tables that hold it."""
 
-    def best_of(candidates: Column) -> Column:
-        most = F.array_max(F.transform(candidates, F.size))
+    def best_of(found: Column) -> Column:
+        def size(table: Column) -> Column:
+            held = F.filter(found, lambda row: F.array_contains(row["tables"], table))
+            return F.struct(F.size(held).alias("n"), (-table).alias("order"))
+
+        tables = F.array_distinct(F.flatten(F.transform(found, lambda row: row["tables"])))
         return let(
-            most, lambda n: F.try_element_at(F.filter(candidates, lambda rows: F.size(rows) == n), F.lit(1))
+            F.array_max(F.transform(tables, size)),
+            lambda most: F.filter(found, lambda row: F.array_contains(row["tables"], -most["order"])),
         )
 
-    best = F.coalesce(
-        let(F.transform(tables, lambda rows: F.filter(rows, _is_service_row)), best_of),
-        F.array().cast("array<array<string>>"),
+    best = F.transform(
+        F.coalesce(
+            let(F.filter(rows, lambda row: _is_service_row(row["cells"])), best_of),
+            F.array().cast("array<struct<cells:array<string>,tables:array<int>>>"),
+        ),
+        lambda row: row["cells"],
     )
     lines = F.transform(
         best,
@@ -174,7 +182,7 @@ def _candidate(part: Column) -> Column:
         part["part_idx"].alias("part_idx"),
         F.when(is_html, F.lit("html")).otherwise(F.lit("text")).alias("kind"),
         bill_matches(source).alias("found"),
-        F.when(is_html, html_services(part["tables"]))
+        F.when(is_html, html_services(part["rows"]))
         .otherwise(text_services(part["body"]))
         .cast(f"array<{SERVICE_LINE}>")
         .alias("services"),

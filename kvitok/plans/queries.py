@@ -433,7 +433,7 @@ def mail_parts(spark: SparkSession, sf: str) -> DataFrame:
 def bill_html_rows(spark: SparkSession, sf: str) -> DataFrame:
     parts = _messages(spark, sf).select("msg_id", F.inline("parts"))
     services = parts.where("content_type = 'text/html'").select(
-        "msg_id", "part_idx", F.posexplode(parse.html_services(F.col("tables"))).alias("line_idx", "s")
+        "msg_id", "part_idx", F.posexplode(parse.html_services(F.col("rows"))).alias("line_idx", "s")
     )
     return services.select(
         "msg_id", "part_idx", "line_idx", F.col("s.name").alias("name"), "s.quantity", "s.amount_due"

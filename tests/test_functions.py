@@ -1,4 +1,6 @@
 import html
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +76,66 @@ def test_visible_text(spark):
     assert run(spark, text.visible_text, [page]) == [expected] == ["a <b> жЖ; c 1 < 2 &lt;"]
 
 
+# Pages and what a reader sees of them.
+PAGES = {
+    "<p title=it's>don't lose me</p> end": "don't lose me end",
+    "a <p title=it's> b": "a b",
+    "a <p x = \"1>2\" y='>'> b": "a b",
+    "a<p x=a\"b>c\">d": 'a c">d',
+    "a <p \"x>y\"> b": 'a y"> b',
+    "a <!-- b > c": "a",
+    "a<!-->b<!--->c<!-- d --!>e": "a b c e",
+    "a <!doctype x> b <?pi y> c </3> d </> e <3> f": "a b c d e <3> f",
+    "a<script>b</scripts>c</script x>d<STYLE>e</Style >f": "a d f",
+    "a<script>b": "a",
+    "a<template>x<b>y</template>z<template>w": "a z",
+    "<ruby>k<rt>kan<rp>)</ruby> text<p>b<rt>c</p>d": "k text b d",
+    "a<rt>b": "a",
+    "a<![CDATA[x>y]]>b<![CDATA[c": "a x>y b",
+    "a <b x": "a <b x",
+    "a <!doctype": "a <!doctype",
+    "a < b <": "a < b <",
+    "a <b x='1": "a <b x='1",
+    "": "",
+}
+
+
+def test_visible_text_of_odd_pages(spark):
+    assert run(spark, text.visible_text, list(PAGES)) == list(PAGES.values())
+    assert [" ".join(TableReader().read(page)[0].split()) for page in PAGES] == list(PAGES.values())
+
+
+def test_both_readers_agree_on_any_pieces(spark):
+    pieces = "<p> </p> <b x= = \" ' > < </ <!-- --> - <! <? <script> </script> <rt> </rt> <td> <template> </template> <![CDATA[ ]]> a b &amp; &lt; / \n".split(" ")
+    rng = random.Random(7)
+    pages = ["".join(rng.choices(pieces, k=rng.randint(1, 25))) for _ in range(4000)]
+    want = [" ".join(TableReader().read(page)[0].split()) for page in pages]
+    assert run(spark, text.visible_text, pages) == want
+
+
+HOSTILE = ("<!--", "<rt>", "<script>", "<a ", "<a x=\"", "<a x='", "<a =", "</", "<!", "<![CDATA[", "<template>", "&", "<p>", "</p>", "<a x=\">\"", "<table><tr><td>")
+
+
+def test_hostile_pages_take_linear_time(spark):
+    pages = [(one * (1_000_000 // len(one)))[:1_000_000] for one in HOSTILE]
+    run(spark, text.visible_text, ["warm <b>up</b>"])
+    for one, page in zip(HOSTILE, pages):
+        start = time.perf_counter()
+        spark.createDataFrame([(page,)], "v string").select(F.length(text.visible_text(F.col("v")))).collect()
+        assert time.perf_counter() - start < 5, one
+        if one != "<table><tr><td>":  # a cell belongs to every open row
+            start = time.perf_counter()
+            TableReader().read(page)
+            assert time.perf_counter() - start < 5, one
+
+
+def test_nested_tables_send_each_row_once():
+    page = "<table><tr><td>" * 10 + "x" + "</td></tr><tr><td>y</td></tr></table>" * 10
+    rows = TableReader().read(page)[1]
+    assert len(rows) == 20 and [len(r["tables"]) for r in rows[:10]] == list(range(1, 11))
+    assert sorted(r["tables"][-1] for r in rows) == sorted([*range(10)] * 2)
+
+
 def test_visible_text_agrees_with_markup_reader(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     for row in pages.select("html", text.visible_text(F.col("html")).alias("t")).collect():
