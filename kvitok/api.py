@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvitok.operators import aggregates, analysis, chart, history, messages
-from kvitok.streaming.ingest import Store
+from kvitok.operators import aggregates, analysis, chart, history, messages, upsert
+from kvitok.streaming import ingest
+from kvitok.streaming.store import LINE_ARRIVAL, Store
 
 
 class Billing:
@@ -47,8 +48,9 @@ class Billing:
         """Months in which any of the accounts was charged, newest first."""
         if not accounts:
             return self.periods_table.limit(0).select("year", "month")
-        charges = aggregates.of_accounts(self.store.charges(), accounts)
-        return aggregates.newest_first(aggregates.charged_periods(charges))
+        # Which lines win does not change the months that have any.
+        lines = aggregates.of_accounts(self.store.lines(), accounts)
+        return aggregates.newest_first(aggregates.charged_periods(lines))
 
     # Charts
 
@@ -60,7 +62,10 @@ class Billing:
         services: list[str] | None = None,
     ) -> DataFrame:
         """Month by service matrix of the accounts together; no services means all."""
-        charges = aggregates.of_accounts(self.store.charges(), accounts).withColumn("key", F.lit("all"))
+        if not start or not end:
+            raise ValueError("a chart needs a first and a last month")
+        kept = aggregates.of_accounts(self.store.lines().drop("unit"), accounts).where(aggregates.in_range(start, end))
+        charges = upsert.upsert_charges(kept, LINE_ARRIVAL).withColumn("key", F.lit("all"))
         return chart.chart_long(charges, self.periods_table, start, end, services, key="key")
 
     def chart_payload(
@@ -79,8 +84,7 @@ class Billing:
     # History of one address
 
     def _months(self, address: str) -> DataFrame:
-        accounts = self.accounts_table.where(F.col("address") == address)
-        return aggregates.month_services(aggregates.at_addresses(self.store.charges(accounts), accounts))
+        return self.store.month_sums().where(F.col("address") == address)
 
     def month(self, address: str, year: int, month: int) -> DataFrame:
         rows = aggregates.with_analysis_tariff(self._months(address))
@@ -105,16 +109,18 @@ class Billing:
     # Analysis
 
     def queue(self, limit: int | None = None) -> DataFrame:
-        """Address-months with charges and no analysis, newest first."""
-        located = aggregates.at_addresses(self.store.charges(), self.accounts_table)
-        charged = aggregates.charged_periods(located, ("address",))
-        return analysis.queue_order(analysis.missing_analysis(charged, self.store.analyses()), limit)
+        """Address-months with charges and no analysis of what they are now, newest first."""
+        return analysis.queue_order(ingest.queue(self.store).select(*analysis.ANALYSIS_KEY), limit)
 
     def prompts(self, limit: int | None = None) -> DataFrame:
-        """Prompts of the queued address-months."""
-        located = aggregates.at_addresses(self.store.charges(), self.accounts_table)
-        texts = messages.prompts(aggregates.month_services(located), self.store.analyses())
-        return analysis.queue_order(texts, limit)
+        """Prompts of the queued address-months; ``version`` goes back with the answer.
+
+        Sums of their addresses alone are read, and texts built for them alone.
+        """
+        queued = analysis.queue_order(ingest.queue(self.store), limit)
+        sums = self.store.month_sums().join(queued.select("address").distinct(), "address", "left_semi")
+        texts = messages.prompts(sums, wanted=queued).join(queued, analysis.ANALYSIS_KEY)
+        return analysis.queue_order(texts)
 
     def analysis(self, address: str, year: int, month: int) -> DataFrame:
         """The newest stored analysis of an address-month."""

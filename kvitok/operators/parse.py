@@ -256,7 +256,8 @@ def parse_texts(texts: DataFrame, body: str = "body") -> DataFrame:
 
 def stored_bills(parsed: DataFrame) -> DataFrame:
     """Bills that pass all checks, one row each, fields as columns."""
-    return parsed.where("reason IS NULL").select("msg_id", "received_at", "bill.*")
+    stored = [c for c in ("created_at",) if c in parsed.columns]
+    return parsed.where("reason IS NULL").select("msg_id", "received_at", *stored, "bill.*")
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:

@@ -87,6 +87,7 @@ def upsert_period_info(bills: DataFrame, arrival: Sequence[str]) -> DataFrame:
     any_fact = F.coalesce(*[F.col(c).cast("string") for c in facts]).isNotNull()
     rows = bills.where(any_fact).select(
         "account_number", "year", "month", *facts, F.lit(None).cast("string").alias("meter_readings"),
+        *[c for c in ("created_at",) if c in bills.columns],
         *arrival,
     )
     return latest_wins(rows, ("account_number", "year", "month"), arrival).drop(*arrival)
@@ -98,7 +99,46 @@ def account_rows(bills: DataFrame, arrival: Sequence[str]) -> DataFrame:
         "account_number", F.coalesce("address", F.lit("")).alias("address"), *arrival
     )
     first = first_wins(rows, ("account_number",), arrival)
-    return first.select(surrogate_id("account_number").alias("account_id"), "account_number", "address")
+    return first.select(surrogate_id("account_number").alias("account_id"), "account_number", "address", *arrival)
+
+
+def merged_accounts(rows: DataFrame) -> DataFrame:
+    """One row per account of rows that several batches wrote: named as its first bill of all names it."""
+    first = F.min(F.struct("received_at", "msg_id", "address")).alias("first")
+    merged = rows.groupBy("account_number").agg(
+        first, F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.max("batch_id").alias("batch_id")
+    )
+    return merged.select(
+        surrogate_id("account_number").alias("account_id"),
+        "account_number",
+        "first.address",
+        "first.received_at",
+        "first.msg_id",
+        "created_at",
+        "updated_at",
+        F.lit(None).cast("string").alias("prior_address"),
+        "batch_id",
+    )
+
+
+def corrected_accounts(candidates: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
+    """Accounts that are new, or whose first bill turns out to be earlier than the stored one.
+
+    ``prior_address`` is the address that a correction takes away. Only stored accounts among the
+    candidates are read on.
+    """
+    known = stored.join(candidates.select("account_number"), "account_number", "left_semi").select(
+        "account_number",
+        F.struct("received_at", "msg_id").alias("_arrival"),
+        F.col("address").alias("_address"),
+        F.col("created_at").alias("_created_at"),
+    )
+    both = candidates.join(known, "account_number", "left")
+    earlier = both.where(F.col("_arrival").isNull() | (F.struct("received_at", "msg_id") < F.col("_arrival")))
+    prior = F.when(F.col("_address") != F.col("address"), F.col("_address"))
+    return earlier.select(
+        *candidates.columns, F.coalesce("_created_at", now).alias("created_at"), now.alias("updated_at"), prior.alias("prior_address")
+    )
 
 
 def period_rows(bills: DataFrame) -> DataFrame:
@@ -114,22 +154,31 @@ def period_rows(bills: DataFrame) -> DataFrame:
     )
 
 
-def service_rows(lines: DataFrame) -> DataFrame:
-    """Services by canonical name. Every parser emits the same unit, so no order is needed.
+def service_rows(lines: DataFrame, arrival: Sequence[str] = ()) -> DataFrame:
+    """Services by canonical name, with the unit of the line that named each first.
 
-    Raw names are made distinct first, so that only a few have to be normalised.
+    Lines without a unit have the one that all bills print, and need no order. Raw names and units are
+    reduced to their first line each before names are normalised.
     """
-    return (
-        lines.select("raw_service")
-        .distinct()
-        .select(normalize_service(F.col("raw_service")).alias("name"))
-        .distinct()
-        .select(
-            surrogate_id("name").alias("service_id"),
-            "name",
-            F.lit(UNKNOWN_UNIT).alias("unit"),
-            F.lit(None).cast("string").alias("code"),
-        )
+    unit = F.col("unit") if "unit" in lines.columns else F.lit(UNKNOWN_UNIT)
+    first = F.min(F.struct(*arrival, unit.alias("unit"))).alias("first")
+    named = lines.groupBy("raw_service").agg(first)
+    by_name = named.groupBy(normalize_service(F.col("raw_service")).alias("name")).agg(F.min("first").alias("first"))
+    return by_name.select(
+        surrogate_id("name").alias("service_id"),
+        "name",
+        F.col("first.unit").alias("unit"),
+        F.lit(None).cast("string").alias("code"),
+        *[F.col(f"first.{c}").alias(c) for c in arrival],
+    )
+
+
+def merged_services(rows: DataFrame) -> DataFrame:
+    """One row per service of rows that several batches wrote; the first unit stays."""
+    arrival = ("received_at", "msg_id", "line_idx")
+    merged = rows.groupBy("name").agg(F.min(F.struct(*arrival, "unit", "code")).alias("first"), F.max("batch_id").alias("batch_id"))
+    return merged.select(
+        surrogate_id("name").alias("service_id"), "name", "first.unit", "first.code", *[F.col(f"first.{c}").alias(c) for c in arrival], "batch_id"
     )
 
 
@@ -142,6 +191,7 @@ def bill_lines(bills: DataFrame, *keep: str) -> DataFrame:
         "year",
         "month",
         F.col("s.name").alias("raw_service"),
+        "s.unit",
         "s.quantity",
         "s.amount_due",
         *keep,

@@ -14,7 +14,8 @@ from kvitok.operators import aggregates, analysis, chart, checks, history, messa
 from kvitok.session import shared_dir
 from kvitok.sources import mail, mime, sample
 from kvitok.sources.sample_mail import sample_mail
-from kvitok.streaming.ingest import Store, start_ingest
+from kvitok.streaming.ingest import start_ingest
+from kvitok.streaming.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -12,7 +12,8 @@ from kvitok.operators.parse import parse_messages, stored_bills
 from kvitok.operators.upsert import bill_lines, upsert_charges
 from kvitok.sources import mail as sources
 from kvitok.sources.mime import read_messages
-from kvitok.streaming.ingest import LINE_ARRIVAL, Store, ingest_batch, start_ingest
+from kvitok.streaming.ingest import ingest_batch, start_ingest
+from kvitok.streaming.store import LINE_ARRIVAL, Store
 from tests.mails import HEAD, MAIL_SCHEMA, bill, html_mail, mail_rows, message, page, text_mail
 
 D = Decimal
@@ -122,7 +123,6 @@ def test_stream_equals_batch(spark, store):
 
 def test_a_repeated_batch_changes_nothing_but_a_repeated_mail_is_audited(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
-    store.create()
     rows = mail_rows(golden())
     mail = spark.createDataFrame(rows, MAIL_SCHEMA)
     ingest_batch(store, mail, 0, RULE)
@@ -140,7 +140,6 @@ def test_a_repeated_batch_changes_nothing_but_a_repeated_mail_is_audited(spark,
 
 def test_compaction_keeps_charges(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
-    store.create()
     rows = mail_rows(golden())
     for batch_id in range(3):
         ingest_batch(store, spark.createDataFrame(rows[batch_id::3], MAIL_SCHEMA), batch_id, RULE)
@@ -154,7 +153,6 @@ def test_compaction_keeps_charges(spark, tmp_path):
 
 def test_late_bill_reports_only_its_month(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
-    store.create()
     rows = mail_rows(golden())
     ingest_batch(store, spark.createDataFrame(rows[2:3], MAIL_SCHEMA), 0, RULE)
     ingest_batch(store, spark.createDataFrame(rows[:1], MAIL_SCHEMA), 1, RULE)
