@@ -181,10 +181,6 @@ _ESCAPED = (
     " '\"', '&quot;'), '''', '&#x27;')"
 )
 
-_MARKUP = (
-    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-    r"|<template\b[^>]*>.*?</template\s*>|<[!?][^>]*>|</?[a-z](?:\"[^\"]*\"|''[^'']*''|[^''\">])*>"
-)
 # The references that the sample pages use; ``&amp;`` comes last.
 _REFERENCES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&mdash;", "—"), ("&copy;", "©"),
@@ -192,11 +188,25 @@ _REFERENCES = (
 )
 
 
-def _visible(html: str) -> str:
-    text = f"regexp_replace({html}, '{_MARKUP}', ' ', 'g')".replace('\\"', '"')
+def _visible() -> str:
+    """Visible text of the sample pages from their pieces between ``<``: what stands behind a tag's ``>``
+    counts unless an element that hides its text is open there."""
+    text = "string_agg(shown, ' ' ORDER BY i)"
     for name, char in _REFERENCES:
         text = f"regexp_replace({text}, '{name}?', '{char}', 'g')"
-    return f"trim(regexp_replace({text}, '{_SPACE}', ' ', 'g'))"
+    return f"""WITH pieces AS (
+  SELECT page_id, generate_subscripts(string_split(html, '<'), 1) AS i, unnest(string_split(html, '<')) AS piece FROM pages),
+tags AS (
+  SELECT *, lower(regexp_extract(piece, '^/?[a-zA-Z0-9]+')) AS tag, strpos(piece, '>') AS closed FROM pieces),
+opened AS (
+  SELECT *, sum(CASE WHEN tag IN ('script', 'style', 'template') THEN 1
+    WHEN tag IN ('/script', '/style', '/template') THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS hidden
+  FROM tags),
+shown AS (
+  SELECT page_id, i, CASE WHEN i = 1 THEN piece WHEN hidden > 0 THEN ''
+    WHEN tag = '' AND piece NOT LIKE '!%' THEN '<' || piece ELSE substr(piece, closed + 1) END AS shown
+  FROM opened)
+SELECT page_id, md5(trim(regexp_replace({text}, '{_SPACE}', ' ', 'g'))) AS text_md5 FROM shown GROUP BY page_id"""
 
 
 def _markdown(text: str) -> str:
@@ -259,6 +269,28 @@ _TASK = """Требуется:
 """
 
 
+_UNANSWERED = """WHERE NOT EXISTS (SELECT 1 FROM analyses x
+  WHERE x.address = a.address AND x."year" = a."year" AND x."month" = a."month")"""
+
+# The delivery that brings a message: its first hexadecimal digit of the MD5 of its id, modulo 3.
+_DELIVERY = "(strpos('0123456789abcdef', substr(md5(msg_id), 1, 1)) - 1) % 3"
+
+_MAIL_MONTHS = """mail_months AS (
+  SELECT address, "year", "month", service, sum(quantity) AS quantity, sum(amount) AS amount_due,
+    "year" || '-' || lpad(CAST("month" AS VARCHAR), 2, '0') AS ym
+  FROM mail_charges GROUP BY ALL)
+"""
+
+# Bills that name one of three flats each, and the flat that an account's first bill names.
+_MOVING = _MAIL.replace(
+    "account_number, address, \"year\"", "account_number, address || ', кв. ' || (l_orderkey % 3) AS address, \"year\""
+)
+_MOVED = """flats AS (
+  SELECT account_number, address FROM outcome WHERE accepted AND (reason IS NULL OR reason = 'bad_month')
+  QUALIFY row_number() OVER (PARTITION BY account_number ORDER BY received_at, msg_id) = 1)
+"""
+
+
 def _report(months: str, billed: str, analyses: str | None) -> str:
     response = (
         f"coalesce({_markdown('l.response')}, '<i>Анализ не проведен (ошибка сервиса ИИ)</i>')"
@@ -403,7 +435,7 @@ ORACLE_SQL = {
         || text || chr(10) || '  * пункт *важно* & <1>' || chr(10) || '- ' || role AS md FROM conversations)
         SELECT conv_id, turn, md5({_markdown("md")}) AS html_md5 FROM marked""",
     "whitespace_collapse": f"SELECT doc_id, md5(trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))) AS text_md5 FROM documents",
-    "html_visible_text": f"SELECT page_id, md5({_visible('html')}) AS text_md5 FROM pages",
+    "html_visible_text": _visible(),
     "number_tokens": r"""WITH found AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[\d\.,]+'),
           lambda t: TRY_CAST(replace(t, ',', '.') AS DOUBLE) IS NOT NULL) AS tokens FROM documents)
         SELECT doc_id, CAST(len(tokens) AS INT) AS n, md5(array_to_string(tokens, ' ')) AS tokens_md5,
@@ -475,4 +507,25 @@ ORACLE_SQL = {
         """mail_months AS (SELECT address, "year", "month", service, sum(quantity) AS quantity,
           sum(amount) AS amount_due FROM mail_charges GROUP BY ALL)""",
     ),
+    "landed_content": """SELECT 'email_' || min(doc_id) || '_' || substring(md5(text), 1, 8) || '.eml' AS name,
+        md5(text) AS content_md5 FROM documents WHERE text IS NOT NULL GROUP BY text""",
+    "stream_accounts": _sql("SELECT account_number, address FROM flats", _TABLES, _MOVING, _MOVED),
+    "stream_month_sums": _sql(
+        """SELECT f.address, "year", "month", service, CAST(sum(quantity) AS DOUBLE) AS quantity,
+        CAST(sum(amount) AS DOUBLE) AS amount_due FROM mail_charges c JOIN flats f USING (account_number)
+        GROUP BY f.address, "year", "month", service""",
+        _TABLES, _MOVING, _MOVED,
+    ),
+    "stream_touched_prompts": _sql(
+        _PROMPT.replace("TASK", _TASK).replace("FROM months", "FROM mail_months").replace(
+            _UNANSWERED, f"""WHERE EXISTS (SELECT 1 FROM outcome x WHERE x.accepted AND x.reason IS NULL AND {_DELIVERY} = 2
+  AND x.address = a.address AND x."year" = a."year" AND x."month" = a."month")"""
+        ),
+        _TABLES, _MAIL, _MAIL_MONTHS,
+    ),
+    "stream_open_queue": _sql(
+        f"""SELECT DISTINCT m.address, m."year", m."month" FROM mail_months m JOIN outcome x USING (address, "year", "month")
+        WHERE x.accepted AND x.reason IS NULL AND {_DELIVERY} = 2""",
+        _TABLES, _MAIL, _MAIL_MONTHS,
+    ),
 }

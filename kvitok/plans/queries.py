@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvitok.functions import numbers, text
@@ -14,6 +14,7 @@ from kvitok.operators import aggregates, analysis, chart, checks, history, messa
 from kvitok.session import shared_dir
 from kvitok.sources import mail, mime, sample
 from kvitok.sources.sample_mail import sample_mail
+from kvitok.streaming.ingest import queue as open_queue
 from kvitok.streaming.ingest import start_ingest
 from kvitok.streaming.store import Store
 
@@ -465,13 +466,37 @@ def content_hash_name(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", name.alias("name"))
 
 
-def _ingested(spark: SparkSession, sf: str) -> Store:
-    """Land all sample mail, run the stream over it, and give the filled store."""
+@query
+def landed_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Names and digests of documents landed as mail, delivered in two parts and then once more as a whole."""
+    docs = sample.table(spark, sf, "documents")
+    content = F.encode("text", "UTF-8")
+    mails = docs.select(
+        F.col("doc_id").cast("string").alias("msg_id"), F.timestamp_seconds(F.col("doc_id")).alias("received_at"), content.alias("content")
+    )
+    path = shared_dir(spark, "landed")
+    early = F.col("received_at") < F.timestamp_seconds(F.lit(100))
+    later = mails.withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 365 DAYS"))
+    for delivery in (mails.where(early), mails.where(~early), later):
+        mail.land_mail_once(delivery, path)
+    return mail.read_landed(spark, path).select(F.col("msg_id").alias("name"), F.md5("content").alias("content_md5"))
+
+
+def _delivery() -> Column:
+    """A number of 0 to 2 for each message, so that deliveries mix early and late arrivals."""
+    digit = F.conv(F.substring(F.md5("msg_id"), 1, 1), 16, 10).cast("int")
+    return digit % 3
+
+
+def _ingested(spark: SparkSession, sf: str, deliveries: int = 1, moving: bool = False) -> Store:
+    """Land all sample mail, in one or three deliveries with a run of the stream after each, and give the filled store."""
     root = shared_dir(spark, "ingest")
-    mail.land_mail(sample_mail(spark, sf), f"{root}/mail")
     store = Store(spark, f"{root}/store")
-    stream = mail.stream_landed(spark, f"{root}/mail")
-    start_ingest(store, stream, f"{root}/progress", TRIAGE).awaitTermination()
+    mails = sample_mail(spark, sf, moving)
+    for k in range(deliveries):
+        mail.land_mail(mails.where(_delivery() == k) if deliveries > 1 else mails, f"{root}/mail")
+        stream = mail.stream_landed(spark, f"{root}/mail")
+        start_ingest(store, stream, f"{root}/progress", TRIAGE).awaitTermination()
     return store
 
 
@@ -486,3 +511,44 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_affected_reports(spark: SparkSession, sf: str) -> DataFrame:
     return _ingested(spark, sf).read("reports").drop("batch_id")
+
+
+@query
+def stream_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Accounts whose bills name different flats, from three deliveries out of order: the first bill by arrival decides."""
+    return _ingested(spark, sf, 3, moving=True).read("accounts").select("account_number", "address")
+
+
+@query
+def stream_month_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums per address, month and service as three deliveries out of order and moving accounts leave them."""
+    sums = _ingested(spark, sf, 3, moving=True).month_sums()
+    return sums.select("address", "year", "month", "service", *_double("quantity", "amount_due"))
+
+
+@query
+def stream_touched_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts of the address-months that the last of three deliveries touches, most of them known before."""
+    asked = _ingested(spark, sf, 3).read("prompts")
+    last = asked.agg(F.max("version")).scalar()
+    return asked.where(F.col("version") == last).select("address", "year", "month", "prompt")
+
+
+@query
+def stream_open_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The work queue after two deliveries whose prompts are all answered, and a third that makes some answers stale."""
+    root = shared_dir(spark, "answered")
+    store = Store(spark, f"{root}/store")
+    mails = sample_mail(spark, sf)
+    for k in range(3):
+        mail.land_mail(mails.where(_delivery() == k), f"{root}/mail")
+        start_ingest(store, mail.stream_landed(spark, f"{root}/mail"), f"{root}/progress", TRIAGE).awaitTermination()
+        if k < 2:
+            asked = store.read("prompts").where(F.col("version") == k)
+            answers = asked.select(
+                *analysis.ANALYSIS_KEY, "prompt", F.lit("### ok").alias("response"), F.lit("m").alias("model"),
+                F.length("prompt").alias("tokens_used"), F.current_timestamp().alias("created_at"), "version",
+            )
+            store.save_analyses(k, answers)
+            store.compact()
+    return open_queue(store).select(*analysis.ANALYSIS_KEY)

@@ -151,16 +151,20 @@ def analysis_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bill_texts(spark: SparkSession, sf_dir: str, moving: bool = False) -> DataFrame:
     """A plain-text bill with two service lines for each line item.
 
     The line number decides the defects and the return flag which apartment facts
-    are printed, so that all branches of the parser see many bills.
+    are printed, so that all branches of the parser see many bills. With ``moving``
+    the bills of an account name different flats of its address.
     """
     columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     columns += ("l_returnflag", "l_linestatus", "l_shipdate")
     items = table(spark, sf_dir, "lineitem").select(*columns)
     heads = bills(spark, sf_dir).select("o_orderkey", "account_number", "address", "year", "month")
+    if moving:
+        flat = (F.col("o_orderkey") % 3).cast("string")
+        heads = heads.withColumn("address", F.concat("address", F.lit(", кв. "), flat))
     money = F.col("l_extendedprice").cast(MONEY).cast("string")
     quantity = F.col("l_quantity").cast(QUANTITY).cast("string")
     first, second = raw_service(F.col("l_partkey")), raw_service(F.col("l_suppkey"))
