@@ -101,3 +101,24 @@ def chart_payload(long: DataFrame, keys: DataFrame, periods: DataFrame, key: str
     )
     joined = keys.select(key).distinct().join(by_service, key, "left").join(totals, key, "left")
     return joined.select(key, F.to_json(payload).alias("payload"))
+
+
+_PAYLOAD = (
+    "struct<months:array<string>,totals:array<double>,"
+    "services:map<string,struct<amounts:array<double>,quantities:array<double>,tariffs:array<double>>>,service_names:array<string>>"
+)
+
+
+def payload_rows(payloads: DataFrame, key: str = "address") -> DataFrame:
+    """What a consumer reads from payloads: a row per service and month, services numbered in their order."""
+    read = payloads.select(key, F.from_json("payload", _PAYLOAD).alias("p"))
+    named = read.select(key, "p", F.posexplode("p.service_names").alias("service_no", "service"))
+    values = named.withColumn("s", F.try_element_at("p.services", F.col("service")))
+    points = F.arrays_zip(
+        F.col("p.months").alias("label"),
+        F.col("p.totals").alias("total"),
+        F.col("s.amounts").alias("amount"),
+        F.col("s.quantities").alias("quantity"),
+        F.col("s.tariffs").alias("tariff"),
+    )
+    return values.select(key, "service_no", "service", F.inline(points))

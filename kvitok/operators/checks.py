@@ -49,3 +49,77 @@ def reference_check(counts: DataFrame, parent: DataFrame, rule: str, key: list[s
 
 def all_checks(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
+
+
+# The constraints of the tables: columns that hold no NULL, keys that occur once, and keys that must
+# exist in another table unless they are NULL.
+NOT_NULL = {
+    "accounts": ("account_number", "address"),
+    "periods": ("year", "month", "start_date"),
+    "services": ("name",),
+    "charges": ("account_number", "year", "month", "service"),
+    "account_period_info": ("account_number", "year", "month"),
+    "raw_imports": ("source_type",),
+    "address_analysis": ("address", "year", "month", "prompt", "response", "model"),
+}
+UNIQUE = {
+    "accounts": ("account_number",),
+    "periods": ("year", "month"),
+    "services": ("name",),
+    "charges": ("account_number", "year", "month", "service"),
+    "account_period_info": ("account_number", "year", "month"),
+    "address_analysis": ("address", "year", "month"),
+}
+REFERENCES = (
+    ("charges", ("account_number",), "accounts", ("account_number",)),
+    ("charges", ("year", "month"), "periods", ("year", "month")),
+    ("charges", ("service",), "services", ("name",)),
+    ("account_period_info", ("account_number",), "accounts", ("account_number",)),
+    ("account_period_info", ("year", "month"), "periods", ("year", "month")),
+    ("raw_imports", ("account_number",), "accounts", ("account_number",)),
+    ("address_analysis", ("year", "month"), "periods", ("year", "month")),
+)
+MONTHS = ("periods",)
+
+
+def _no_null(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
+def _keys(table: str) -> list[str]:
+    """Columns of a table whose values the checks must tell apart; of others only whether they are NULL counts."""
+    own = [c for child, key, _, _ in REFERENCES if child == table for c in key]
+    return list(dict.fromkeys([*UNIQUE.get(table, ()), *own, *(("month",) if table in MONTHS else ())]))
+
+
+def table_counts(table: str, rows: DataFrame) -> DataFrame:
+    """What all checks of a table need, as counts per key. Counts of several batches add up (``merged_counts``)."""
+    keys = _keys(table)
+    flags = [F.col(c).isNull().alias(f"no_{c}") for c in NOT_NULL[table] if c not in keys]
+    return key_counts(rows.select(*keys, *flags), [*keys, *[f"no_{c}" for c in NOT_NULL[table] if c not in keys]])
+
+
+def merged_counts(counts: Sequence[DataFrame]) -> DataFrame:
+    """Counts of a table from those of its batches, so that its rows need not be read again."""
+    together = reduce(DataFrame.unionByName, counts)
+    return together.groupBy(*[c for c in together.columns if c != "n"]).agg(F.sum("n").alias("n"))
+
+
+def table_checks(counts: dict[str, DataFrame]) -> DataFrame:
+    """Violations of every constraint whose tables are given, from their ``table_counts``."""
+    found = []
+    for table, rows in counts.items():
+        keys = _keys(table)
+        rules = {f"{table}.{c} not null": F.col(c).isNotNull() if c in keys else ~F.col(f"no_{c}") for c in NOT_NULL[table]}
+        if table in MONTHS:
+            rules[f"{table}.month range"] = F.col("month").isNull() | F.col("month").between(1, 12)
+        found.append(row_checks(rows, rules))
+        if table in UNIQUE:
+            key = UNIQUE[table]
+            per_key = rows.where(_no_null(key)).groupBy(*key).agg(F.sum("n").alias("n"))
+            found.append(unique_check(per_key, f"{table} unique"))
+    for child, key, parent, parent_key in REFERENCES:
+        if child in counts and parent in counts:
+            known = counts[parent].where(_no_null(parent_key)).select(*[F.col(p).alias(c) for p, c in zip(parent_key, key)])
+            found.append(reference_check(counts[child], known, f"{child}.{'+'.join(key)} exists", list(key)))
+    return all_checks(found)

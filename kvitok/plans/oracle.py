@@ -291,6 +291,83 @@ _MOVED = """flats AS (
 """
 
 
+_HOMES = "SELECT *, CAST(account_number AS BIGINT) AS k FROM addresses"
+_CATALOGUE = f"SELECT DISTINCT {_CANONICAL.format('r')} AS name FROM (SELECT {_RAW.format('p_partkey')} AS r FROM part)"
+_STORED_INFO = """SELECT DISTINCT account_number, "year", "month" FROM known
+  WHERE flag <> 'R' AND kind <> 6 AND kind <> 7 AND NOT (kind = 3 AND flag = 'A')"""
+
+# The tables that all constraints are checked on: as stored, and with planted violations.
+_STORED = f"""t_accounts AS (SELECT account_number, address FROM addresses),
+t_periods AS (SELECT DISTINCT "year", "month", make_date("year", "month", 1) AS start_date FROM heads),
+t_services AS ({_CATALOGUE}),
+t_charges AS (SELECT account_number, "year", "month", service FROM charges),
+t_account_period_info AS ({_STORED_INFO}),
+t_raw_imports AS (SELECT 'email' AS source_type, account_number FROM known WHERE kind NOT IN (6, 7) OR (kind = 7 AND flag = 'R')),
+t_address_analysis AS (SELECT address, "year", "month", prompt, response, model FROM latest)
+"""
+_PLANTED = f"""homes AS ({_HOMES}),
+flawed AS (SELECT k, CASE WHEN k % 50 <> 7 THEN account_number END AS account_number, CASE WHEN k % 10 <> 3 THEN address END AS address
+  FROM homes WHERE k % 20 <> 2),
+t_accounts AS (SELECT account_number, address FROM flawed UNION ALL SELECT account_number, address FROM flawed WHERE k % 20 = 1),
+months_kept AS (SELECT DISTINCT "year" AS y, "month" AS m FROM heads WHERE "year" <> 1996),
+t_periods AS (
+  SELECT CASE WHEN m <> 5 THEN y END AS "year", CASE WHEN m = 12 THEN 13 WHEN m <> 4 THEN m END AS "month",
+    CASE WHEN m <> 6 THEN make_date(y, m, 1) END AS start_date FROM months_kept
+  UNION ALL SELECT y, m, make_date(y, m, 1) FROM months_kept WHERE m = 7),
+names AS (SELECT name FROM ({_CATALOGUE}) WHERE name <> 'ТКО'),
+t_services AS (SELECT name FROM names UNION ALL SELECT name FROM names WHERE name <> 'ХВС' UNION ALL SELECT NULL),
+t_charges AS (
+  SELECT CASE WHEN l_linenumber <> 7 THEN account_number END AS account_number, CASE WHEN l_linenumber <> 6 THEN "year" END AS "year",
+    CASE WHEN l_linenumber <> 5 THEN "month" END AS "month", CASE WHEN l_linenumber <> 4 THEN service END AS service FROM named),
+t_account_period_info AS (
+  SELECT CASE WHEN o_orderkey % 5 <> 0 THEN account_number END AS account_number, CASE WHEN o_orderkey % 7 <> 0 THEN "year" END AS "year",
+    CASE WHEN o_orderkey % 3 <> 0 THEN "month" END AS "month" FROM heads),
+t_raw_imports AS (
+  SELECT CASE WHEN o_orderkey % 4 <> 0 THEN 'email' END AS source_type, CASE WHEN o_orderkey % 3 <> 0 THEN account_number END AS account_number
+  FROM heads),
+t_address_analysis AS (
+  SELECT CASE WHEN seq % 2 <> 0 THEN address END AS address, CASE WHEN seq % 3 <> 0 THEN "year" END AS "year",
+    CASE WHEN seq % 4 <> 0 THEN "month" END AS "month", CASE WHEN seq % 5 <> 0 THEN prompt END AS prompt,
+    CASE WHEN seq % 6 <> 0 THEN response END AS response, CASE WHEN seq % 7 <> 0 THEN model END AS model FROM analyses)
+"""
+
+_MONTH_KEY = '"year", "month"'
+_NOT_NULL = (
+    ("accounts", "account_number address"), ("periods", "year month start_date"), ("services", "name"),
+    ("charges", "account_number year month service"), ("account_period_info", "account_number year month"),
+    ("raw_imports", "source_type"), ("address_analysis", "address year month prompt response model"),
+)
+_UNIQUE = (
+    ("accounts", "account_number"), ("periods", _MONTH_KEY), ("services", "name"),
+    ("charges", f"account_number, {_MONTH_KEY}, service"), ("account_period_info", f"account_number, {_MONTH_KEY}"),
+    ("address_analysis", f"address, {_MONTH_KEY}"),
+)
+_REFERENCES_TO = (
+    ("charges", "account_number", "accounts", "c.account_number = p.account_number"),
+    ("charges", "year+month", "periods", 'c."year" = p."year" AND c."month" = p."month"'),
+    ("charges", "service", "services", "c.service = p.name"),
+    ("account_period_info", "account_number", "accounts", "c.account_number = p.account_number"),
+    ("account_period_info", "year+month", "periods", 'c."year" = p."year" AND c."month" = p."month"'),
+    ("raw_imports", "account_number", "accounts", "c.account_number = p.account_number"),
+    ("address_analysis", "year+month", "periods", 'c."year" = p."year" AND c."month" = p."month"'),
+)
+
+
+def _constraints() -> str:
+    rules = [(f"{t}.{c} not null", f'SELECT count(*) FROM t_{t} WHERE "{c}" IS NULL') for t, columns in _NOT_NULL for c in columns.split()]
+    rules.append(("periods.month range", 'SELECT count(*) FROM t_periods WHERE "month" NOT BETWEEN 1 AND 12'))
+    for t, key in _UNIQUE:
+        present = " AND ".join(f"{c} IS NOT NULL" for c in key.split(", "))
+        rules.append((f"{t} unique", f"SELECT count(*) FROM (SELECT 1 FROM t_{t} WHERE {present} GROUP BY {key} HAVING count(*) > 1)"))
+    for t, key, parent, on in _REFERENCES_TO:
+        present = " AND ".join(f'c."{c}" IS NOT NULL' for c in key.split("+"))
+        rules.append((f"{t}.{key} exists", f"SELECT count(*) FROM t_{t} c WHERE {present} AND NOT EXISTS (SELECT 1 FROM t_{parent} p WHERE {on})"))
+    return " UNION ALL ".join(f"SELECT '{rule}' AS rule, CAST(({sql}) AS BIGINT) AS violations" for rule, sql in rules)
+
+
+_ASKED = "address = 'NATION_19, MACHINERY'"
+
+
 def _report(months: str, billed: str, analyses: str | None) -> str:
     response = (
         f"coalesce({_markdown('l.response')}, '<i>Анализ не проведен (ошибка сервиса ИИ)</i>')"
@@ -528,4 +605,29 @@ ORACLE_SQL = {
         WHERE x.accepted AND x.reason IS NULL AND {_DELIVERY} = 2""",
         _TABLES, _MAIL, _MAIL_MONTHS,
     ),
+    "table_constraints": _sql(_constraints(), _TABLES, _MAIL, _STORED),
+    "planted_violations": _sql(_constraints(), _TABLES, _PLANTED),
+    "charges_replaced": _sql(f'SELECT account_number, "year", "month", service, {_AS_DOUBLE} FROM charges'),
+    "asked_periods": _sql(f'SELECT DISTINCT "year", "month" FROM months WHERE {_ASKED} ORDER BY 1 DESC, 2 DESC'),
+    "asked_month": _sql(
+        f"""SELECT address, service, {_AS_DOUBLE}, CASE WHEN quantity > 0
+        THEN CAST(amount_due AS DOUBLE) / CAST(quantity AS DOUBLE) ELSE 0 END AS tariff
+        FROM months WHERE {_ASKED} AND "year" = 1996 AND "month" = 6 ORDER BY service"""
+    ),
+    "asked_history": _sql(
+        f"""SELECT "year", "month", service, CAST(amount_due AS DOUBLE) AS amount_due FROM months
+        JOIN (SELECT "year", "month" FROM charged WHERE {_ASKED} AND "year" * 12 + "month" <= 1996 * 12 + 6
+          ORDER BY 1 DESC, 2 DESC LIMIT 12) USING ("year", "month")
+        WHERE {_ASKED} ORDER BY 1 DESC, 2 DESC, 3"""
+    ),
+    "chart_payload_rows": _sql(
+        """SELECT address, CAST(dense_rank() OVER (PARTITION BY address ORDER BY service) - 1 AS INT) AS service_no, service, label,
+        CAST(sum(amount) OVER (PARTITION BY address, label) AS DOUBLE) AS total,
+        CAST(amount AS DOUBLE) AS amount, CAST(quantity AS DOUBLE) AS quantity,
+        CASE WHEN quantity <> 0 THEN CAST(amount AS DOUBLE) / CAST(quantity AS DOUBLE) ELSE 0 END AS tariff FROM grid"""
+    ),
+    "chart_of_services": _sql(
+        """SELECT address, label, service, CAST(amount AS DOUBLE) AS amount, CAST(quantity AS DOUBLE) AS quantity
+        FROM grid WHERE service IN ('ХВС', 'ТКО')"""
+    ),
 }

@@ -190,6 +190,89 @@ def constraint_checks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _checked(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The tables after their upserts."""
+    bills = parse.parse_texts(_bill_text(spark, sf)).drop("body").where(
+        "defect IS NULL AND account_number IS NOT NULL AND year <> 0 AND month BETWEEN 1 AND 12"
+    )
+    return {
+        "accounts": sample.addresses(spark, sf),
+        "periods": _periods(spark, sf),
+        "services": _services(spark, sf),
+        "charges": _charges(spark, sf),
+        "account_period_info": upsert.upsert_period_info(bills, ("received_at", "msg_id")),
+        "raw_imports": upsert.import_rows(bills, F.current_timestamp()),
+        "address_analysis": _analyses(spark, sf),
+    }
+
+
+@query
+def table_constraints(spark: SparkSession, sf: str) -> DataFrame:
+    """Violations of every constraint in the tables as they are stored."""
+    return checks.table_checks({name: checks.table_counts(name, rows) for name, rows in _checked(spark, sf).items()})
+
+
+def planted_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Tables that break every constraint: repeated and missing keys, absent parents, NULLs and a month 13."""
+    orders, lines = sample.orders(spark, sf), upsert.charge_rows(sample.charge_lines(spark, sf))
+    homes = sample.addresses(spark, sf).withColumn("k", F.col("account_number").cast("long"))
+    homes = homes.select(
+        F.when(F.col("k") % 50 != 7, F.col("account_number")).alias("account_number"),
+        F.when(F.col("k") % 10 != 3, F.col("address")).alias("address"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("k") % 20 == 1, 2).otherwise(F.when(F.col("k") % 20 == 2, 0).otherwise(1)))),
+    ).drop("col")
+    months = orders.select("year", "month").distinct().where("year <> 1996")
+    periods = months.select(
+        F.when(F.col("month") != 5, F.col("year")).alias("year"),
+        F.when(F.col("month") == 12, 13).when(F.col("month") != 4, F.col("month")).alias("month"),
+        F.when(F.col("month") != 6, F.make_date("year", "month", F.lit(1))).alias("start_date"),
+    ).union(months.where("month = 7").select("year", "month", F.make_date("year", "month", F.lit(1))))
+    names = _services(spark, sf).select("name").where("name <> 'ТКО'")
+    services = names.union(names.where("name <> 'ХВС'")).union(names.limit(1).select(F.lit(None).cast("string")))
+    key = F.col("o_orderkey")
+    return {
+        "accounts": homes,
+        "periods": periods,
+        "services": services,
+        "charges": lines.select(
+            F.when(F.col("l_linenumber") != 7, F.col("account_number")).alias("account_number"),
+            F.when(F.col("l_linenumber") != 6, F.col("year")).alias("year"),
+            F.when(F.col("l_linenumber") != 5, F.col("month")).alias("month"),
+            F.when(F.col("l_linenumber") != 4, F.col("service")).alias("service"),
+        ),
+        "account_period_info": orders.select(
+            F.when(key % 5 != 0, F.col("account_number")).alias("account_number"),
+            F.when(key % 7 != 0, F.col("year")).alias("year"),
+            F.when(key % 3 != 0, F.col("month")).alias("month"),
+        ),
+        "raw_imports": orders.select(
+            F.when(key % 4 != 0, F.lit("email")).alias("source_type"), F.when(key % 3 != 0, F.col("account_number")).alias("account_number")
+        ),
+        "address_analysis": sample.analysis_log(spark, sf).select(
+            *[F.when(F.col("seq") % n != 0, F.col(c)).alias(c) for n, c in enumerate(("address", "year", "month", "prompt", "response", "model"), 2)]
+        ),
+    }
+
+
+@query
+def planted_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Violations in tables that break every constraint, from the merged counts of two batches of each."""
+    counts = {}
+    for name, rows in planted_tables(spark, sf).items():
+        side = F.pmod(F.xxhash64(*rows.columns), F.lit(2))
+        counts[name] = checks.merged_counts([checks.table_counts(name, rows.where(side == k)) for k in (0, 1)])
+    return checks.table_checks(counts)
+
+
+@query
+def charges_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored charges of the first lines of all bills, and the other lines put over them."""
+    rows = upsert.charge_rows(sample.charge_lines(spark, sf))
+    stored = upsert.latest_wins(rows.where("l_linenumber <= 2"), upsert.CHARGE_KEY, sample.ARRIVAL)
+    charges = upsert.replace_rows(stored, rows.where("l_linenumber > 2"), upsert.CHARGE_KEY, sample.ARRIVAL)
+    return charges.select("account_number", "year", "month", "service", *_double("quantity", "amount_due"))
+
+
 # Listings
 
 
@@ -215,6 +298,43 @@ def periods_for_accounts(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.newest_first(aggregates.charged_periods(lines, ("account_number",)))
 
 
+# Questions about one address
+
+ASKED_ADDRESS, ASKED_PERIOD = "NATION_19, MACHINERY", (1996, 6)
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of the asked address, from the lines of its accounts alone."""
+    accounts = aggregates.accounts_by_address(sample.billed_accounts(spark, sf), ASKED_ADDRESS)
+    lines = aggregates.of_accounts(sample.charge_lines(spark, sf), accounts)
+    return aggregates.month_services(aggregates.at_addresses(upsert.upsert_charges(lines, sample.ARRIVAL), accounts))
+
+
+@query
+def asked_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """Months in which any of the accounts of an address was charged, newest first."""
+    accounts = aggregates.accounts_by_address(sample.billed_accounts(spark, sf), ASKED_ADDRESS)
+    lines = aggregates.of_accounts(sample.charge_lines(spark, sf), accounts)
+    return aggregates.newest_first(aggregates.charged_periods(lines))
+
+
+@query
+def asked_month(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of an address in one month, by service."""
+    year, month = ASKED_PERIOD
+    rows = aggregates.with_analysis_tariff(_asked(spark, sf)).where((F.col("year") == year) & (F.col("month") == month))
+    return rows.orderBy("service").select("address", "service", *_double("quantity", "amount_due"), "tariff")
+
+
+@query
+def asked_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The last twelve charged months of an address up to one month, newest first, by service."""
+    upto = _asked(spark, sf).where(aggregates.before(ASKED_PERIOD, inclusive=True))
+    newest = aggregates.newest_first(aggregates.charged_periods(upto)).limit(history.HISTORY)
+    rows = upto.join(newest, ["year", "month"], "left_semi").orderBy(F.desc("year"), F.desc("month"), "service")
+    return rows.select("year", "month", "service", *_double("amount_due"))
+
+
 # Sums and history
 
 
@@ -315,6 +435,19 @@ def chart_payload(spark: SparkSession, sf: str) -> DataFrame:
     return chart.chart_payload(_chart(spark, sf), sample.billed_accounts(spark, sf), in_range)
 
 
+@query
+def chart_payload_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What a consumer reads from the payloads."""
+    return chart.payload_rows(chart_payload(spark, sf))
+
+
+@query
+def chart_of_services(spark: SparkSession, sf: str) -> DataFrame:
+    """The chart of two chosen services at every address."""
+    long = chart.chart_long(_located(spark, sf), _periods(spark, sf), CHART_START, CHART_END, ["ХВС", "ТКО"])
+    return long.select("address", "label", "service", *_double("amount", "quantity"))
+
+
 # Analysis and reports
 
 
@@ -422,7 +555,7 @@ def bill_text_services(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def mail_triage(spark: SparkSession, sf: str) -> DataFrame:
     accepted = mail.is_accepted(TRIAGE)
-    return mime.read_messages(sample_mail(spark, sf), rule=TRIAGE).select("msg_id", "h_subject", accepted.cast("int").alias("accepted"))
+    return mime.read_messages(sample_mail(spark, sf), bodies=False).select("msg_id", "h_subject", accepted.cast("int").alias("accepted"))
 
 
 @query
