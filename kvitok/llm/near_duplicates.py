@@ -12,12 +12,12 @@ Classes. Texts of equal sets collapse to one representative first. Representativ
 are compared with the band's centre; pairs of a similarity of 0.8 or more, computed exactly from the
 sets, are links. The centre is the member whose bands hold the most members in all: the text that a
 group's copies were made from shares more bands with them than they do with each other, and may be
-the only one that is near to all of them. Bands whose members lie in several classes afterwards go on, each round
-with more centres than before, until every pair that shares a band is linked, in one class, or
-compared. Before the sets of a pair are looked at, their sizes, and how many runs of each any other
-text holds, must allow the similarity; that drops pairs of copies with many changes of their own. So a
-band of thousands of copies costs rounds and few of its pairs, and no link between texts of a common
-band is lost. With 25 bands of 5 a pair of similarity 0.8 shares none in 1 of 20,000 cases.
+the only one that is near to all of them. Members of bands that lie in several classes afterwards are
+open: any two of them may still be near. They are joined by their rarest runs: two sets of that similarity
+share one of the rarest fifth of each, and the first that they share leaves enough of both behind it. So copies
+with many changes of their own, of which no two are near, meet in the join and hardly any pair leaves it,
+and no link between texts of a common band is lost. With 25 bands of 5 a pair of similarity 0.8 shares none in
+1 of 20,000 cases.
 
 Hot bands and copies: counts and smallest members are combined before shuffles, joins have exchanges
 on both sides, and sets travel only for texts that share a band.
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvitok.llm.common import ALNUM, Words, mix, pieces, shingle_hashes, signed, small_batches, stored, table
@@ -203,7 +203,6 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, bands: in
     places = stored(places.select("band", "id").join(wanted, "id").select("band", "id", F.struct("companions", "id").alias("place")), "near-ranked")
     bodies = own.join(wanted.select("id"), own.doc_id == F.col("id")).select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(shingle, weights), "id long, body binary")
     bodies = stored(bodies.where(F.length("body") > 0), "near-sets")
-    places = stored(places.join(_held(bodies, weights), "id"), "near-bounded")
     links = _links(places, bodies, least, weights)
     # Texts that share an id hold their classes together.
     tied = members.join(members.groupBy("doc_id").agg(F.min("rep").alias("other")), "doc_id").where("rep != other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
@@ -215,84 +214,72 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, bands: in
     return classed.unionByName(alone).unionByName(nulls)
 
 
-def _held(bodies: DataFrame, weights: str) -> DataFrame:
-    """For each id the size of its set, and how much of it another id holds too: the most that two can share.
+def _compared(pairs: DataFrame, bodies: DataFrame, least: float, weights: str) -> DataFrame:
+    """Pairs (a, b) of ids that have sets as near as that."""
+    sides = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("left")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("right")), "b")
+    return sides.select("a", "b", "left", "right").mapInArrow(_verified(least, weights), "a long, b long").distinct()
 
-    Copies with many changes of their own cannot be near to each other, however many bands they share,
-    and this tells so without a look at their sets. Weighted sets go without the bound.
+
+def _links(places: DataFrame, bodies: DataFrame, least: float, weights: str) -> DataFrame:
+    """Links (a, b) that hold together all that are near among ids sharing a band.
+
+    Every band's centre is compared with its other members, then open ids by their rarest runs.
     """
-    ids = bodies.select("id").distinct()
-    if weights != "set":
-        return ids.select("id", F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("held"))
+    centres = places.groupBy("band").agg(F.min("place").alias("place")).select("band", F.col("place.id").alias("c"))
+    pairs = places.select("band", "id").join(centres, "band").where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    links = stored(_compared(pairs, bodies, least, weights), "near-links")
+    roots = stored(connected(links), "near-roots")
+    state = places.select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    open_ = stored(state.join(mixed, "band", "left_semi").select("id", "root").distinct(), "near-open")
+    return links.union(_compared(_rare_pairs(open_, bodies, least, weights), bodies, least, weights))
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _tokens(weights: str):
+    """Every run of every set, a run of weight w as w tokens; with it the number of tokens, and the set's digest, as an id may have several."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                sets = [np.frombuffer(b, np.uint64) for b in part.column(1).to_pylist()]
-                own = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(signed(np.concatenate(sets)))], ["id", "shingle"])
+                sets = []
+                for body in part.column(1).to_pylist():
+                    runs = np.frombuffer(body, np.uint64)
+                    if weights != "set":
+                        runs, weight = runs.reshape(-1, 2).T
+                        nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight.astype(np.int64))
+                        runs = mix(np.repeat(runs, weight.astype(np.int64)) + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+                    sets.append(runs)
+                size = [len(x) for x in sets]
+                digest = [int(mix(x).sum(dtype=np.uint64)) for x in sets]
+                own = np.repeat(part.column(0).to_numpy(zero_copy_only=False), size)
+                columns = [pa.array(own), pa.array(signed(np.repeat(np.array(digest, np.uint64), size))), pa.array(np.repeat(np.array(size, np.int64), size)), pa.array(signed(np.concatenate(sets)))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "size", "token"])
 
-    each = bodies.select("id", "body").mapInArrow(shingles, "id long, shingle long")
-    alone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    sizes = bodies.groupBy("id").agg((F.max(F.length("body")) / 8).cast("long").alias("size"), F.count(F.lit(1)).alias("rows"))
-    # An id with several texts has several sets; it goes without the bound.
-    joined = sizes.join(alone, "id", "left")
-    return joined.select("id", F.when(F.col("rows") == 1, F.col("size")).otherwise(0).alias("size"), F.when(F.col("rows") == 1, F.col("size") - F.coalesce("alone", F.lit(0))).otherwise(0).alias("held"))
-
-
-def _may_be_near(least: float):
-    """Whether two ids could reach the similarity by their sizes and what they share with anyone."""
-    most = F.least("held", "c_held")
-    unbounded = (F.col("size") == 0) | (F.col("c_size") == 0)
-    return unbounded | (most * (1 + least) >= (F.col("size") + F.col("c_size")) * least - 1e-9)
+    return work
 
 
-def _links(places: DataFrame, bodies: DataFrame, least: float, weights: str) -> DataFrame:
-    """Links (a, b) that hold together all that are near among ids sharing a band.
+def _rare_pairs(open_: DataFrame, bodies: DataFrame, least: float, weights: str) -> DataFrame:
+    """Pairs (a, b) of open ids of other classes that may be as near as that.
 
-    The first round compares every band's first member with the others. Each later one takes, from bands
-    with members in several classes, members that were no centre yet and lie outside the class of the
-    smallest root, and compares them with the members of other classes.
+    The tokens of each set are put in one order, rarest first. Of sets that are near, the first token that
+    both hold stands among the first ``size - least * size + 1`` of either, their sizes are alike, and as many
+    tokens stand from there on in both as they must share.
     """
-    links = None
-    own = ("band", "id", "place", "size", "held")
-    state = places.select(*own, F.col("id").alias("root"))
-    centres_so_far = None
-    take = 1
-    while True:
-        # Bands whose members are of several classes.
-        mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "low")
-        open_ = state.join(mixed, "band")
-        if centres_so_far is not None:
-            open_ = open_.join(centres_so_far, ["band", "id"], "left").withColumn("used", F.col("centre").isNotNull()).drop("centre")
-        else:
-            open_ = open_.withColumn("used", F.lit(False))
-        open_ = stored(open_, "near-open")
-        candidates = open_.where("not used" + ("" if centres_so_far is None else " and root != low"))
-        centres = _first(candidates, take)
-        centres = stored(centres, "near-centres")
-        if centres.isEmpty():
-            return places.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false") if links is None else links
-        pairs = open_.join(centres.select("band", F.col("id").alias("c"), F.col("root").alias("c_root"), F.col("size").alias("c_size"), F.col("held").alias("c_held")), "band").where((F.col("root") != F.col("c_root")) & _may_be_near(least))
-        pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        sides = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("left")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("right")), "b")
-        near = sides.select("a", "b", "left", "right").mapInArrow(_verified(least, weights), "a long, b long").distinct()
-        links = stored(near if links is None else links.union(near), "near-links")
-        used = centres.select("band", "id", F.lit(True).alias("centre"))
-        centres_so_far = used if centres_so_far is None else stored(centres_so_far.union(used), "near-used")
-        roots = stored(connected(links), "near-roots")
-        state = open_.select(*own).join(roots, "id", "left").select(*own, F.coalesce("root", "id").alias("root"))
-        state = stored(state, "near-state")
-        take *= 16
-
-
-def _first(candidates: DataFrame, take: int) -> DataFrame:
-    """The first ``take`` members of each band with their roots."""
-    if take == 1:
-        return candidates.groupBy("band").agg(F.min(F.struct("place", "root", "size", "held")).alias("x")).select("band", F.col("x.place.id").alias("id"), "x.root", "x.size", "x.held")
-    ranked = candidates.withColumn("nth", F.row_number().over(Window.partitionBy("band").orderBy("place")))
-    return ranked.where(F.col("nth") <= take).select("band", "id", "root", "size", "held")
+    own = bodies.join(open_.select("id"), "id", "left_semi").select("id", "body")
+    tokens = own.mapInArrow(_tokens(weights), "id long, digest long, size long, token long")
+    tokens = stored(tokens, "near-tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # A list is as long as one text.
+    ordered = tokens.join(counts, "token").groupBy("id", "digest", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    prefix = F.slice("tokens", 1, (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int"))
+    placed = ordered.select("id", "size", F.posexplode(prefix).alias("at", "t")).where("t.n > 1").join(open_, "id")
+    placed = stored(placed.select(F.col("t.token").alias("token"), "id", "root", "size", (F.col("size") - F.col("at")).alias("rest")), "near-rare")
+    other = placed.select("token", *[F.col(c).alias(f"o_{c}") for c in ("id", "root", "size", "rest")])
+    alike = F.least("size", "o_size") >= least * F.greatest("size", "o_size") - 1e-9
+    enough = F.least("rest", "o_rest") * (1 + least) >= (F.col("size") + F.col("o_size")) * least - 1e-9
+    met = placed.join(other, "token").where((F.col("id") < F.col("o_id")) & (F.col("root") != F.col("o_root")) & alike & enough)
+    return met.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
