@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvitok.llm.common import stored, table
@@ -25,12 +25,24 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class; rows of a null id stay, and rows that repeat an id stay or go together.
+    """One document of each class: that of the smallest id, rows of a null id after all others.
 
-    Only ids that go travel to the join.
+    Rows of a null id are classed by an id that their text gives, so copies among them collapse too. Of
+    rows that repeat an id one stays; only such rows are dealt by id, and only ids that go travel to the join.
     """
-    gone = stored(near_duplicate_classes(docs).where("class_id != doc_id").select(F.col("doc_id").alias("_near_id")), "pipeline-near")
-    return docs.join(gone, F.col("doc_id") == F.col("_near_id"), "left_anti")
+    # Ids made from texts lie beyond 2**62, so they are no smallest ones of a class.
+    own = F.xxhash64("text").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    key = F.coalesce(F.col("doc_id").cast("long"), own)
+    keyed = docs.withColumn("_near_key", key)
+    classes = near_duplicate_classes(keyed.select(F.col("_near_key").alias("doc_id"), "text"))
+    gone = stored(classes.where("class_id != doc_id").select(F.col("doc_id").alias("_near_key")), "pipeline-near")
+    left = keyed.join(gone, "_near_key", "left_anti")
+    repeated = left.groupBy("_near_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_near_key")
+    repeated = stored(repeated, "pipeline-repeated")
+    order = [F.xxhash64("text"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]]
+    several = left.join(repeated, "_near_key", "left_semi")
+    first = several.withColumn("_near_nth", F.row_number().over(Window.partitionBy("_near_key").orderBy(*order))).where("_near_nth = 1")
+    return left.join(repeated, "_near_key", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
