@@ -612,11 +612,11 @@ ORACLE_SQL = {
     "asked_month": _sql(
         f"""SELECT address, service, {_AS_DOUBLE}, CASE WHEN quantity > 0
         THEN CAST(amount_due AS DOUBLE) / CAST(quantity AS DOUBLE) ELSE 0 END AS tariff
-        FROM months WHERE {_ASKED} AND "year" = 1996 AND "month" = 6 ORDER BY service"""
+        FROM months WHERE {_ASKED} AND "year" = 1999 AND "month" = 6 ORDER BY service"""
     ),
     "asked_history": _sql(
         f"""SELECT "year", "month", service, CAST(amount_due AS DOUBLE) AS amount_due FROM months
-        JOIN (SELECT "year", "month" FROM charged WHERE {_ASKED} AND "year" * 12 + "month" <= 1996 * 12 + 6
+        JOIN (SELECT "year", "month" FROM charged WHERE {_ASKED} AND "year" * 12 + "month" <= 1999 * 12 + 6
           ORDER BY 1 DESC, 2 DESC LIMIT 12) USING ("year", "month")
         WHERE {_ASKED} ORDER BY 1 DESC, 2 DESC, 3"""
     ),
@@ -630,4 +630,22 @@ ORACLE_SQL = {
         """SELECT address, label, service, CAST(amount AS DOUBLE) AS amount, CAST(quantity AS DOUBLE) AS quantity
         FROM grid WHERE service IN ('ХВС', 'ТКО')"""
     ),
+    "addresses_trimmed": _sql(
+        "SELECT DISTINCT address FROM bills WHERE CAST(account_number AS BIGINT) % 7 <> 0 ORDER BY 1"
+    ),
+    "accounts_first_bill": _sql(
+        """SELECT account_number, address || ', кв. ' || (o_orderkey % 3) AS address FROM bills
+        QUALIFY row_number() OVER (PARTITION BY account_number ORDER BY o_orderdate, o_orderkey) = 1"""
+    ),
+    "services_first_unit": _sql(
+        """SELECT service AS name, 'ед. ' || (l_suppkey % 5) AS unit FROM named QUALIFY row_number() OVER (
+        PARTITION BY service ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1"""
+    ),
+    "breakdown_units": _sql(
+        """SELECT service AS name, CASE service WHEN 'ХВС' THEN 'м3' ELSE 'ед.' END AS unit, count(*) AS n,
+        CAST(sum(amount_due) AS DOUBLE) AS amount_due FROM months GROUP BY service"""
+    ),
+    "latest_analysis_known": _sql(
+        'SELECT address, "year", "month", response, model FROM latest WHERE "year" <> 1995'
+    ),
 }

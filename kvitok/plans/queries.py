@@ -63,10 +63,7 @@ def _periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    # The join with so few service names must not shuffle by them; the price list of
-    # units is a short literal table, which Spark broadcasts for its size.
-    units = upsert.service_rows(sample.price_list(spark))
-    return aggregates.month_breakdown(_months(spark, sf), units)
+    return aggregates.month_breakdown(_months(spark, sf), _services(spark, sf))
 
 
 def _analyses(spark: SparkSession, sf: str) -> DataFrame:
@@ -286,6 +283,31 @@ def accounts_by_address(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.accounts_by_address(sample.billed_accounts(spark, sf))
 
 
+@query
+def addresses_trimmed(spark: SparkSession, sf: str) -> DataFrame:
+    """Listed addresses where some accounts store theirs padded and some a blank one."""
+    key = F.col("account_number").cast("long")
+    padded = F.when(key % 7 == 0, F.lit("   ")).when(key % 3 == 0, F.concat(F.lit("  "), "address", F.lit(" "))).otherwise(F.col("address"))
+    return aggregates.listed_addresses(sample.billed_accounts(spark, sf).withColumn("address", padded))
+
+
+@query
+def accounts_first_bill(spark: SparkSession, sf: str) -> DataFrame:
+    """Accounts whose bills name different flats: the first bill by date decides."""
+    bills = sample.bills(spark, sf)
+    flat = F.concat("address", F.lit(", кв. "), (F.col("o_orderkey") % 3).cast("string"))
+    rows = upsert.account_rows(bills.withColumn("address", flat), ("o_orderdate", "o_orderkey"))
+    return rows.select("account_number", "address")
+
+
+@query
+def services_first_unit(spark: SparkSession, sf: str) -> DataFrame:
+    """Services whose lines name different units: the first line to arrive decides."""
+    lines = sample.charge_lines(spark, sf).withColumn("unit", F.concat(F.lit("ед. "), (F.col("l_suppkey") % 5).cast("string")))
+    arrival = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return upsert.service_rows(lines, arrival).select("name", "unit")
+
+
 @query
 def services_list(spark: SparkSession, sf: str) -> DataFrame:
     return _services(spark, sf).select("name", "unit").orderBy("name")
@@ -300,7 +322,7 @@ def periods_for_accounts(spark: SparkSession, sf: str) -> DataFrame:
 
 # Questions about one address
 
-ASKED_ADDRESS, ASKED_PERIOD = "NATION_19, MACHINERY", (1996, 6)
+ASKED_ADDRESS, ASKED_PERIOD = "NATION_19, MACHINERY", (1999, 6)
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -345,6 +367,14 @@ def address_month_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def breakdown_units(spark: SparkSession, sf: str) -> DataFrame:
+    """The breakdown where one service has a unit, one an empty one and the others none."""
+    unit = F.when(F.col("name") == "ХВС", F.lit("м3")).when(F.col("name") == "ТКО", F.lit(""))
+    rows = aggregates.month_breakdown(_months(spark, sf), _services(spark, sf).withColumn("unit", unit))
+    return rows.groupBy("name", "unit").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_due").cast("double").alias("amount_due"))
+
+
 @query
 def address_month_service(spark: SparkSession, sf: str) -> DataFrame:
     months = aggregates.with_analysis_tariff(_months(spark, sf))
@@ -473,6 +503,13 @@ def latest_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return latest.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd"))
 
 
+@query
+def latest_analysis_known(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest analyses where the periods of one year are not stored."""
+    periods = _periods(spark, sf).where("year <> 1995")
+    return analysis.latest_analysis(sample.analysis_log(spark, sf), periods, ("seq",)).drop("created_at")
+
+
 @query
 def analysis_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return messages.prompts(_months(spark, sf), sample.analysis_log(spark, sf))

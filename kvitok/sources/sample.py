@@ -122,12 +122,6 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(raw_service(F.col("p_partkey")).alias("raw_service")).distinct()
 
 
-def price_list(spark: SparkSession) -> DataFrame:
-    """All raw service names that bills can print, in a plan whose small size Spark knows."""
-    names = F.array(*[F.lit(name) for name in RAW_SERVICES])
-    return spark.range(1).select(F.explode(names).alias("raw_service"))
-
-
 def analysis_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyses stored so far: urgent, closed orders were analysed on arrival."""
     done = bills(spark, sf_dir).where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
