@@ -206,7 +206,7 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, bands: in
     links = _links(places, bodies, least, weights)
     # Texts that share an id hold their classes together.
     tied = members.join(members.groupBy("doc_id").agg(F.min("rep").alias("other")), "doc_id").where("rep != other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    found = connected(links.union(tied))
+    found = connected(stored(links.union(tied), "near-all-links"))
     first = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     classed = first.join(found, first.rep == found.id, "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     alone = signs.groupBy("doc_id").agg(F.max("size").alias("size")).where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"))
