@@ -6,7 +6,7 @@ from fractions import Fraction
 from itertools import permutations
 from math import factorial
 
-from kvitok.llm.filter_audit import LETTERS, failure_counts, interaction_audit, shapley_weights
+from kvitok.llm.filter_audit import failure_counts, interaction_audit, shapley_weights
 
 DOCS = "doc_id long, text string, source string, part string, n string, failed string, quality string"
 LABELS = "doc_id long, quality int, toxic int, source string"
@@ -81,7 +81,3 @@ def test_weights_are_those_of_the_orders():
         # The empty coalition removes nothing, so its weight does not count.
         assert [row[1:] for row in got] == [row[1:] for row in want]
         assert sum(Fraction(row[-1], factorial(n)) for row in got) == 1
-
-
-def test_letters():
-    assert LETTERS == "ABCDE"
