@@ -7,9 +7,9 @@ by id, with a bias by distance. Ids that the training texts lack share one entry
 
 Training: the own term and the distributions start from expectation maximisation on the counts of all
 pairs, whose sums are added up over parts of the pairs. Then parts of the texts learn apart from that
-start, by a gradient step on each batch of their windows; an entry's mean over the parts, weighed by how
-often it stands in each, is the attention, and the distributions are one more expectation step over
-all places of all parts.
+start, by a gradient step on each batch of their windows, each window once at every size of input; an
+entry's mean over the parts, weighed by how often it stands in each, is the attention, and the
+distributions are one more expectation step over all places of all parts.
 
 Scoring: windows of ``CONTEXT + STEP`` subwords overlap by ``CONTEXT``; a batch of windows is one masked
 attention, in which the last ``STEP`` subwords of each window are scored, so each is scored once.
@@ -22,9 +22,9 @@ import base64
 import numpy as np
 
 EXPERTS, KEY = 32, 8
-CONTEXT, STEP = 8, 8
-#: Windows that are computed at once.
-BATCH = 1024
+CONTEXT, STEP = 16, 16
+#: Windows that are scored at once, and that a gradient step reads.
+BATCH, STEP_BATCH = 512, 64
 
 
 def load_subwords(path: str, pattern: str):
@@ -57,49 +57,33 @@ class Model:
     def __init__(self, tables: dict[str, np.ndarray], entry: np.ndarray, share: float) -> None:
         self.tables, self.entry, self.share = tables, entry, share
 
-    def attended(self, ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Weights of the experts for each scored place, with what the gradient needs."""
-        t = self.tables
-        given, asking = ids[:, :-1], ids[:, CONTEXT - 1 : -1]
-        distance = _distances()
-        causal = distance >= 0
-        scores = np.matmul(t["query"][asking], t["key"][given].transpose(0, 2, 1)) + t["bias"][np.maximum(distance, 0)]
-        seen = causal[None] & (of[:, None, :-1] == of[:, CONTEXT - 1 : -1, None])
-        scores = np.where(seen, scores, np.float32(-1e9))
-        weight = _softmax(scores)
-        mixed = np.matmul(weight, t["value"][given])
-        return _softmax(t["own"][asking] + mixed), weight, mixed, seen
-
     def log10(self, stream: np.ndarray, text: np.ndarray) -> np.ndarray:
         """log10 probability of each place of a stream of entries, given those before it in its text.
 
-        The same as ``attended``, with the sums of both softmaxes divided out at the end.
+        The sums of both softmaxes are divided out at the end.
         """
         t = self.tables
         ids, of = windows(stream, text)
-        near = _distances()
-        bias = t["bias"][np.maximum(near, 0)]
-        causal = (near >= 0).astype(np.float32)
+        bias = t["bias"][_NEAR]
         out = np.empty((len(ids), STEP), np.float32)
         look = lambda name, at: np.take(t[name], at, axis=0)
-        sums = lambda x: (x.reshape(-1, x.shape[-1]) @ np.ones((x.shape[-1], 1), np.float32)).reshape(x.shape[:-1])
         for k in range(0, len(ids), BATCH):
             a, o = ids[k : k + BATCH], of[k : k + BATCH]
             given, asking = np.ascontiguousarray(a[:, :-1]), np.ascontiguousarray(a[:, CONTEXT - 1 : -1])
             weight = np.matmul(look("query", asking), look("key", given).transpose(0, 2, 1))
             weight += bias
             np.exp(np.clip(weight, -60, 60, out=weight), out=weight)
-            weight *= causal
+            weight *= _CAUSAL
             edge = np.flatnonzero(o[:, 0] != o[:, -1])
             if len(edge):
                 weight[edge] *= o[edge, None, :-1] == o[edge, CONTEXT - 1 : -1, None]
             mixed = np.matmul(weight, look("value", given))
-            mixed /= np.maximum(sums(weight), 1e-30)[..., None]
+            mixed /= np.maximum(_sums(weight), np.float32(1e-30))
             mixed += look("own", asking)
             np.exp(np.clip(mixed, -60, 60, out=mixed), out=mixed)
-            whole = sums(mixed)
+            whole = _sums(mixed)
             mixed *= look("expert", np.ascontiguousarray(a[:, CONTEXT:]))
-            out[k : k + BATCH] = np.log10(np.maximum(sums(mixed) / whole, 1e-30))
+            out[k : k + BATCH] = np.log10(np.maximum(_sums(mixed) / whole, 1e-30))[..., 0]
         return out.ravel()[: len(stream)]
 
 
@@ -108,6 +92,16 @@ def _distances() -> np.ndarray:
     return np.arange(CONTEXT - 1, CONTEXT + STEP - 1)[:, None] - np.arange(CONTEXT + STEP - 1)[None, :]
 
 
+#: Distance of each asking place of a window from each given one, and whether it may be seen.
+_NEAR = np.maximum(_distances(), 0)
+_CAUSAL = (_distances() >= 0).astype(np.float32)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the last axis, which stays; a product with ones is faster than a sum of short rows."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones((x.shape[-1], 1), np.float32)).reshape(*x.shape[:-1], 1)
+
+
 def _columns(totals: np.ndarray, smooth: float, base: np.ndarray) -> np.ndarray:
     """Distributions over entries, one a column, smoothed towards the base distribution."""
     return (totals + smooth * base[:, None]) / (totals.sum(axis=0, keepdims=True) + smooth)
@@ -161,60 +155,112 @@ def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 #: Tables that gradient steps move, by id, and their columns.
 MOVED = {"query": KEY, "key": KEY, "value": EXPERTS, "own": EXPERTS}
+_ENDS = np.cumsum([*MOVED.values()])
+
+
+def _by_window(places: np.ndarray) -> np.ndarray:
+    """Rows of consecutive places as overlapping windows, without a copy."""
+    down, across = places.strides
+    return np.lib.stride_tricks.as_strided(places, (len(places) // STEP - CONTEXT // STEP, CONTEXT + STEP, places.shape[1]), (STEP * down, down, across), writeable=False)
+
+
+def _by_place(total: np.ndarray, part: np.ndarray) -> None:
+    """Adds rows of windows, their last place left out, to the places that they stand for."""
+    n = len(part) * STEP
+    total[:n].reshape(len(part), STEP, -1)[:] += part[:, :STEP]
+    total[STEP : n + STEP].reshape(len(part), STEP, -1)[:, :-1] += part[:, STEP:]
 
 
 class Learner:
     """Gradient steps from a model over windows, and the expectations of all places they saw."""
 
-    def __init__(self, model: Model, seed: int, rate: float = 0.03) -> None:
-        self.model = Model({k: v.copy() for k, v in model.tables.items()}, model.entry, model.share)
+    def __init__(self, model: Model, seed: int, rate: float = 0.02) -> None:
+        t = model.tables
+        self.expert, self.bias = t["expert"], t["bias"].copy()
+        self.moved = np.concatenate([t[k] for k in MOVED], axis=1)
         self.rng, self.rate, self.steps = np.random.default_rng(seed), rate, 0
-        self.first, self.second = ({k: np.zeros_like(self.model.tables[k]) for k in (*MOVED, "bias")} for _ in range(2))
-        self.totals = np.zeros(self.model.tables["expert"].shape)
+        self.slopes = [np.zeros_like(self.moved) for _ in range(2)]
+        self.bias_slopes = [np.zeros_like(self.bias) for _ in range(2)]
+        self.totals = np.zeros(self.expert.shape, np.float32)
         self.seen = np.zeros(len(self.totals))
 
-    def see(self, stream: np.ndarray, text: np.ndarray, passes: int) -> None:
-        """Steps over all windows of a stream of entries, each ``passes`` times."""
-        ids, of = windows(stream, text)
+    def see(self, stream: np.ndarray, text: np.ndarray) -> None:
+        """Steps over all windows of a stream of entries, runs of them in a shuffled order."""
         self.seen += np.bincount(stream, minlength=len(self.seen))
-        for _ in range(passes):
-            order = self.rng.permutation(len(ids))
-            for k in range(0, len(order), BATCH):
-                self._step(ids[order[k : k + BATCH]], of[order[k : k + BATCH]])
+        filled = -len(stream) % STEP
+        ids = np.concatenate((np.zeros(CONTEXT, stream.dtype), stream, np.zeros(filled, stream.dtype)))
+        of = np.concatenate((np.full(CONTEXT, -1), text, np.full(filled, -2)))
+        run = STEP_BATCH * STEP
+        for k in self.rng.permutation(-(-len(stream) // run)) * run:
+            self._step(ids[k : k + CONTEXT + run], of[k : k + CONTEXT + run])
 
     def _step(self, a: np.ndarray, o: np.ndarray) -> None:
-        t, distance = self.model.tables, np.maximum(_distances(), 0)
         self.steps += 1
-        given, asking, target = a[:, :-1], a[:, CONTEXT - 1 : -1], a[:, CONTEXT:]
-        z, weight, _, seen = self.model.attended(a, o)
-        joint = z * t["expert"][target]
-        post = joint / np.maximum(joint.sum(axis=-1, keepdims=True), 1e-30)
-        valid = ((o[:, CONTEXT:] >= 0) & (o[:, CONTEXT:] == o[:, CONTEXT - 1 : -1]))[..., None]
-        slope = np.where(valid, post - z, 0) / max(1, valid.sum())
-        by_weight = np.matmul(slope, t["value"][given].transpose(0, 2, 1))
-        by_score = np.where(seen, weight * (by_weight - (weight * by_weight).sum(axis=-1, keepdims=True)), 0)
-        n = len(t["own"])
-        grads = {
-            "own": _summed(asking, slope, n), "value": _summed(given, np.matmul(weight.transpose(0, 2, 1), slope), n),
-            "query": _summed(asking, np.matmul(by_score, t["key"][given]), n), "key": _summed(given, np.matmul(by_score.transpose(0, 2, 1), t["query"][asking]), n),
-            "bias": np.bincount(distance.ravel(), by_score.sum(axis=0).ravel(), len(t["bias"])),
-        }
-        for k, grad in grads.items():  # Adam, uphill
-            first, second, grad = self.first[k], self.second[k], grad.astype(np.float32)
-            first *= 0.9
-            first += 0.1 * grad
-            second *= 0.99
-            second += 0.01 * grad**2
-            t[k] += (self.rate / (1 - 0.9**self.steps)) * first / (np.sqrt(second / (1 - 0.99**self.steps)) + 1e-8)
-        self.totals += _summed(target[valid[..., 0]], post[valid[..., 0]], n)
+        n = (len(a) - CONTEXT) // STEP
+        held = np.take(self.moved, a, axis=0)
+        query, key, value, own = np.split(held, _ENDS[:-1], axis=1)
+        asked = lambda x: x[CONTEXT - 1 : -1].reshape(n, STEP, -1)
+        query, key, value = asked(query), _by_window(key)[:, :-1], _by_window(value)[:, :-1]
+        weight = np.matmul(query, key.transpose(0, 2, 1))
+        weight += self.bias[_NEAR]
+        np.exp(np.minimum(weight, 60, out=weight), out=weight)
+        weight *= _CAUSAL
+        of = _by_window(o[:, None])[..., 0]
+        edge = np.flatnonzero(of[:, 0] != of[:, -1])
+        weight[edge] *= of[edge, None, :-1] == of[edge, CONTEXT - 1 : -1, None]
+        weight /= np.maximum(_sums(weight), np.float32(1e-30))
+        z = np.matmul(weight, value)
+        z += asked(own)
+        np.exp(np.minimum(z, 60, out=z), out=z)
+        z /= _sums(z)
+        post = np.take(self.expert, a[CONTEXT:], axis=0).reshape(z.shape)
+        post *= z
+        valid = ((o[CONTEXT:] >= 0) & (o[CONTEXT:] == o[CONTEXT - 1 : -1])).reshape(n, STEP, 1)
+        post *= valid / np.maximum(_sums(post), np.float32(1e-30))
+        slope = post - (z * valid if len(edge) else z)
+        slope /= max(1, int(valid.sum()))
+        by_score = np.matmul(slope, value.transpose(0, 2, 1))
+        by_score -= _sums(weight * by_score)
+        by_score *= weight
+        grad = np.zeros((len(a), _ENDS[-1] + EXPERTS), np.float32)
+        by_query, by_key, by_value, by_own, by_target = np.split(grad, _ENDS, axis=1)
+        by_query[CONTEXT - 1 : -1] = np.matmul(by_score, key).reshape(n * STEP, -1)
+        _by_place(by_key, np.matmul(by_score.transpose(0, 2, 1), query))
+        _by_place(by_value, np.matmul(weight.transpose(0, 2, 1), slope))
+        by_own[CONTEXT - 1 : -1] = slope.reshape(n * STEP, -1)
+        by_target[CONTEXT:] = post.reshape(n * STEP, -1)
+        # Sums by entry: places in order of their entries, then sums of runs.
+        order = np.argsort(a, kind="stable")
+        sorted_ = a[order]
+        starts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+        entries = sorted_[starts]
+        sums = np.add.reduceat(np.take(grad, order, axis=0), starts, axis=0)
+        self.totals[entries] += sums[:, _ENDS[-1] :]
+        self._move(self.moved, self.slopes, entries, sums[:, : _ENDS[-1]])
+        near = np.bincount(_NEAR.ravel(), by_score.sum(axis=0).ravel(), len(self.bias)).astype(np.float32)
+        self._move(self.bias, self.bias_slopes, np.arange(len(near)), near)
+
+    def _move(self, table: np.ndarray, slopes: list[np.ndarray], at: np.ndarray, grad: np.ndarray) -> None:
+        """A step of Adam, uphill, of the entries that the run holds."""
+        first, second = (np.take(s, at, axis=0) for s in slopes)
+        first *= np.float32(0.9)
+        first += np.float32(0.1) * grad
+        second *= np.float32(0.99)
+        second += np.float32(0.01) * grad**2
+        slopes[0][at], slopes[1][at] = first, second
+        second /= np.float32(1 - 0.99**self.steps)
+        np.sqrt(second, out=second)
+        second += np.float32(1e-8)
+        first /= second
+        first *= np.float32(self.rate / (1 - 0.9**self.steps))
+        table[at] += first
 
     def by_entry(self) -> np.ndarray:
         """How often each entry stood, its moved tables as often, and its expectations: a row each."""
-        t = self.model.tables
-        return np.concatenate((self.seen[:, None], *[self.seen[:, None] * t[k] for k in MOVED], self.totals), axis=1)
+        return np.concatenate((self.seen[:, None], self.seen[:, None] * self.moved, self.totals), axis=1)
 
     def by_step(self) -> np.ndarray:
-        return np.concatenate(([self.steps], self.steps * self.model.tables["bias"]))
+        return np.concatenate(([self.steps], self.steps * self.bias))
 
 
 def mean_model(start: Model, base: np.ndarray, by_entry: np.ndarray, by_step: np.ndarray) -> Model:

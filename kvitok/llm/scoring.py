@@ -3,13 +3,17 @@
 A text's tokens are its words, lower-cased, and one end. A word's probability is the mean of two: what
 the attention model gives its subwords one after the other, and its add-one share of all training
 tokens. Both learn from all training texts: the counts of words and of pairs of subwords are summed over
-them, and tasks learn the attention apart from all windows of their texts, which are then averaged. So
-the attention's share of a score depends a little on how the rows are dealt to tasks.
-
-Tasks gather texts into blocks of about ``BLOCK_BYTES`` and count each block's distinct words, so the
-shuffle carries a word once a block and not once a place. Counts are summed by word and go back to the
-blocks that hold the word and do not know its count yet; block and counts meet in one group of bounded
-size, where the texts are scored. A word in every block costs one row a block.
+them, and the attention learns apart from all windows of each block of texts, once at every size of
+input, and is then averaged.
+
+Texts are dealt by a hash of their id and text into tasks of about ``BLOCK_BYTES``, and stand there in
+the order of id and text: scores do not depend on the order of rows, but for the last digits of sums,
+and a task that runs again finds the same. Tasks gather their texts into blocks of that size, read each
+distinct word of a block into subwords once, and store the block as its words, their subwords and the
+places of words; nothing reads a text again. Only distinct words of a block go through the shuffle.
+Counts are summed by word and go back to the blocks that hold the word and do not know its count yet;
+block and counts meet in one group of bounded size, where the texts are scored. A word in every block
+costs one row a block. Rows that repeat both id and text meet in one task, which works block by block.
 
 Nulls and empty texts have the end alone. Rows of a null id are scored and not learned from; rows that
 repeat are each scored, and counted as often as they stand in the training texts. Extra columns are
@@ -27,24 +31,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvitok.llm.attention import BATCH, EXPERTS, STEP, Learner, Model, Start, load_subwords, mean_model, pair_sums
-from kvitok.llm.common import LOWER, NOT_SPACE, PIECE_BYTES, Words, lists, pieces, remainder, signed, small_batches, stored, table
+from kvitok.llm.attention import EXPERTS, Learner, Model, Start, load_subwords, mean_model, pair_sums
+from kvitok.llm.common import NOT_SPACE, PIECE_BYTES, Words, lists, pieces, remainder, signed, small_batches, stored, table
 
 BLOCK_BYTES = 16 << 20
-#: Bytes of text that a task learns the attention from, and that it reads at once, unless one text is longer.
-LEARN_BYTES, READ_BYTES = 32 << 20, 4 << 20
-#: Steps of expectation maximisation on pairs, and pairs of a task; least gradient steps of a task.
-PAIR_STEPS, PAIR_ROWS, LEAST_STEPS = 40, 1 << 20, 120
+#: Steps of expectation maximisation on pairs, and pairs of a task.
+PAIR_STEPS, PAIR_ROWS = 40, 1 << 20
 #: Pairs computed at once, and entries whose sums travel together.
 PAIR_BLOCK, SLICE = 1 << 16, 128
 #: Share of the corpus counts in a word's probability.
 COUNTS = 0.5
 #: Hash that stands for the end of a text.
 END = np.uint64(1)
-#: Words that are scored at once.
-RUN = 1 << 15
-
-_LOWER = bytes(LOWER.tolist())
+#: Words that are scored at once, and most that learn at once.
+RUN, LEARN_RUN = 1 << 15, 1 << 20
 
 
 def _joined(texts: list[bytes]) -> Iterator[tuple[int, Words]]:
@@ -59,143 +59,160 @@ def _joined(texts: list[bytes]) -> Iterator[tuple[int, Words]]:
         yield begin, Words(texts[begin:], NOT_SPACE)
 
 
-def _words(texts: list[bytes], keep_words: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Hash and text number of each token in order, ends included, and the first place of each as bytes if asked."""
-    hash_, doc, body = [], [], []
-    for begin, words in _joined(texts):
-        n = len(words.first) - 1
-        order = np.concatenate((words.doc * 2, np.arange(n) * 2 + 1)).argsort(kind="stable")
-        hash_.append(np.concatenate((words.hashes(), np.full(n, END)))[order])
-        doc.append(begin + np.concatenate((words.doc, np.arange(n)))[order])
-    if keep_words:
-        for text in texts:
-            body.extend(text.translate(_LOWER).split())
-            body.append(b"")
-    return np.concatenate([np.zeros(0, np.uint64), *hash_]), np.concatenate([np.zeros(0, np.int64), *doc]), body
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a block: its rows, texts packed, distinct words and their training counts."""
-    number = TaskContext.get().partitionId() << 32
-    ids: list = []
-    learns: list[bool] = []
-    texts: list[bytes] = []
-
-    def block() -> pa.RecordBatch:
-        hash_, doc, _ = _words(texts)
-        word, place = np.unique(hash_, return_inverse=True)
-        count = np.bincount(place, np.array(learns, float)[doc], len(word)).astype(np.int64)
-        packed = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-        one = np.array([1])
-        return pa.RecordBatch.from_arrays([
-            pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([learns], pa.list_(pa.bool_())), lists(np.fromiter(map(len, texts), np.int64, len(texts)), one * len(texts), pa.int64()),
-            pa.array([packed], pa.binary()), lists(signed(word), one * len(word), pa.int64()), lists(count, one * len(word), pa.int64()),
-        ], ["block", "ids", "learns", "sizes", "packed", "words", "counts"])
-
-    for rows, part in pieces(batches):
-        ids += rows.column(0).to_pylist()
-        learns += rows.column(rows.schema.get_field_index("learns")).to_pylist()
-        texts += [t or b"" for t in part]
-        if sum(map(len, texts)) >= BLOCK_BYTES:
-            yield block()
-            number, ids, learns, texts = number + 1, [], [], []
-    if texts:
-        yield block()
-
-
-class _Scorer:
-    def __init__(self, model: Model, path: str, pattern: str) -> None:
-        self.model, self.subwords = model, load_subwords(path, pattern)
-        self.begin = len(model.entry) - 2
-        self.end = len(model.entry) - 1
-
-    def by_word(self, word: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entries of each word's subwords one after the other, where they begin, and the log10 of what unknown ids share."""
-        ids = [self.subwords.encode_ordinary(" " + w.decode()) if w else [self.end] for w in word]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.int64, int(sizes.sum()))
-        return self.model.entry[flat], np.concatenate(([0], np.cumsum(sizes))), sizes
-
-    def log10(self, place: np.ndarray, doc: np.ndarray, flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, given the subwords before it in its text and run of tokens."""
-        opens = np.concatenate(([True], doc[1:] != doc[:-1]))
-        n = sizes[place] + opens
+class _Block:
+    """Some texts as places of distinct words: the words' hashes in order, and their subwords.
+
+    place: number of the word of each token, ends included; n_tokens: tokens of each text; ids, sizes: subwords of all
+    words one after the other, and how many a word has.
+    """
+
+    def __init__(self, place, n_tokens, word, ids, sizes) -> None:
+        self.place, self.n_tokens, self.word, self.ids, self.sizes = place, n_tokens, word, ids, sizes
+        self.first = np.cumsum(sizes) - sizes
+        self.doc = np.repeat(np.arange(len(n_tokens)), n_tokens)
+
+    @classmethod
+    def read(cls, texts: list[bytes], subwords) -> _Block:
+        hash_, doc, body = [], [], {int(END): b""}
+        for begin, words in _joined(texts):
+            n = len(words.first) - 1
+            order = np.concatenate((words.doc * 2, np.arange(n) * 2 + 1)).argsort(kind="stable")
+            own = words.hashes()
+            hash_.append(np.concatenate((own, np.full(n, END)))[order])
+            doc.append(begin + np.concatenate((words.doc, np.arange(n)))[order])
+            word, head = np.unique(own, return_index=True)
+            raw = words.data.tobytes()
+            for h, a, z in zip(word.tolist(), words.starts[head].tolist(), words.ends[head].tolist(), strict=True):
+                if h not in body:
+                    body[h] = raw[a:z]
+        whole = np.concatenate([np.zeros(0, np.uint64), *hash_])
+        word, place = np.unique(whole, return_inverse=True)
+        end = [subwords.n_vocab + 1]
+        found = [subwords.encode_ordinary(" " + body[h].decode()) if body[h] else end for h in word.tolist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter((x for y in found for x in y), np.int32, int(sizes.sum()))
+        return cls(place, np.bincount(np.concatenate([np.zeros(0, np.int64), *doc]), minlength=len(texts)), word, ids, sizes)
+
+    @classmethod
+    def of(cls, row: pa.RecordBatch | pa.Table, at: int = 0) -> _Block:
+        """The block of a stored row."""
+        get = lambda c: row.column(row.schema.get_field_index(c))[at]
+        place = np.frombuffer(zstandard.ZstdDecompressor().decompress(get("places").as_py()), np.int32)
+        return cls(place, get("n_tokens").values.to_numpy(), get("words").values.to_numpy().view(np.uint64), get("ids").values.to_numpy(), get("sizes").values.to_numpy().astype(np.int64))
+
+    def stream(self, table: np.ndarray, begin: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The subwords of tokens ``start`` to ``stop`` by way of ``table``, ``begin`` before each text and run.
+
+        With them the text number of each, and where each token's own end.
+        """
+        place, doc = self.place[start:stop], self.doc[start:stop]
+        n = self.sizes[place] + np.concatenate((np.ones(min(1, len(doc)), bool), doc[1:] != doc[:-1]))
         ends = np.cumsum(n)
-        at = np.arange(ends[-1]) - np.repeat(ends - sizes[place], n)
-        own = np.where(at < 0, 0, first[np.repeat(place, n)] + at)
-        stream = np.where(at < 0, self.model.entry[self.begin], flat[own])
-        score = self.model.log10(stream, np.repeat(doc, n))
-        unknown = len(self.model.tables["own"]) - 1
-        score = np.where(at < 0, 0.0, score.astype(np.float64) + np.where(stream == unknown, np.log10(self.model.share), 0.0))
-        return np.add.reduceat(score, np.concatenate(([0], ends[:-1])))
-
-
-def _scores(sent, path: str, pattern: str, tokens: int, distinct: int):
-    def work(block: pa.Table, found: pa.Table) -> pa.Table:
-        row = block.slice(0, 1).combine_chunks()
-        get = lambda c: row.column(c).chunk(0)[0]
-        ids, sizes = get("ids").values, get("sizes").values.to_numpy()
-        word, count = get("words").values.to_numpy().view(np.uint64), get("counts").values.to_numpy().copy()
-        if found.num_rows:
-            at = np.searchsorted(word, found.column("word").to_numpy().view(np.uint64))
-            count[at] = found.column("c").to_numpy()
-        raw, ends = zstandard.ZstdDecompressor().decompress(get("packed").as_py()) if sizes.sum() else b"", np.cumsum(sizes)
-        texts = [raw[e - s : e] for s, e in zip(sizes, ends, strict=True)]
-        hash_, doc, body = _words(texts, keep_words=True)
-        place = np.searchsorted(word, hash_)
-        head = np.full(len(word), -1, np.int64)
-        head[place[::-1]] = np.arange(len(place))[::-1]
-        scorer = _Scorer(sent.value, path, pattern)
-        flat, first, subwords = scorer.by_word([body[k] for k in head])
-        del body
-        base = np.log10((count + 1.0) / (tokens + distinct + 1.0))
-        attended = np.concatenate([scorer.log10(place[k : k + RUN], doc[k : k + RUN], flat, first, subwords) for k in range(0, len(place), RUN)])
-        own = base[place]
-        top = np.maximum(own, attended)
-        both = top + np.log10(COUNTS * 10.0 ** (own - top) + (1 - COUNTS) * 10.0 ** (attended - top))
-        n = len(texts)
-        by = lambda values: np.bincount(doc, values, n)
-        return pa.table({
-            "doc_id": ids, "n_tokens": pa.array(np.bincount(doc, minlength=n), pa.int64()), "n_known": pa.array(by((count > 0)[place].astype(float)).astype(np.int64)), "train_tokens": pa.array(np.full(n, tokens), pa.int64()),
-            "base_score": pa.array(by(own)), "score": pa.array(by(both)), "attention_score": pa.array(by(attended)),
-        })
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - self.sizes[place], n)
+        flat = table[self.ids]
+        return np.where(at < 0, begin, flat[np.maximum(np.repeat(self.first[place], n) + at, 0)]), np.repeat(doc, n), ends
+
+    def cuts(self, learns: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of tokens of texts that may be learned from, whole texts unless one is longer than a run."""
+        ends = np.cumsum(self.n_tokens)
+        starts, begin, stop = ends - self.n_tokens, 0, 0
+        for k in np.flatnonzero(learns):
+            if starts[k] != stop or ends[k] - begin > LEARN_RUN:
+                if stop > begin:
+                    yield begin, stop
+                begin = starts[k]
+            while ends[k] - begin > LEARN_RUN:
+                yield begin, begin + LEARN_RUN
+                begin += LEARN_RUN
+            stop = ends[k]
+        if stop > begin:
+            yield begin, stop
+
+
+BLOCKS = "block long, doc_ids array<long>, learns array<boolean>, n_tokens array<long>, places binary, words array<long>, counts array<long>, ids array<int>, sizes array<int>"
+
+
+def _blocks(path: str, pattern: str):
+    """One row a block: its rows, places, distinct words with their training counts, and their subwords."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, subwords = TaskContext.get().partitionId() << 32, load_subwords(path, pattern)
+        ids: list = []
+        learns: list[bool] = []
+        texts: list[bytes] = []
+
+        def block() -> pa.RecordBatch:
+            own = _Block.read(texts, subwords)
+            count = np.bincount(own.place, np.array(learns, float)[own.doc], len(own.word)).astype(np.int64)
+            packed = zstandard.ZstdCompressor(level=1).compress(own.place.astype(np.int32).tobytes())
+            one = np.array([1])
+            all_ = lambda values, kind: lists(values, one * len(values), kind)
+            return pa.RecordBatch.from_arrays([
+                pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([learns], pa.list_(pa.bool_())), all_(own.n_tokens, pa.int64()), pa.array([packed], pa.binary()),
+                all_(signed(own.word), pa.int64()), all_(count, pa.int64()), all_(own.ids, pa.int32()), all_(own.sizes, pa.int32()),
+            ], ["block", "doc_ids", "learns", "n_tokens", "places", "words", "counts", "ids", "sizes"])
+
+        for rows, part in pieces(batches):
+            ids += rows.column(0).to_pylist()
+            learns += rows.column(rows.schema.get_field_index("learns")).to_pylist()
+            texts += [t or b"" for t in part]
+            if sum(map(len, texts)) >= BLOCK_BYTES:
+                yield block()
+                number, ids, learns, texts = number + 1, [], [], []
+        if texts:
+            yield block()
 
     return work
 
 
-def _streams(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Subword ids of runs of texts, each text with its begin and end, and the text number of each."""
-    subwords = load_subwords(path, pattern)
-    begin, end = subwords.n_vocab, subwords.n_vocab + 1
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Block, np.ndarray]]:
+    """Number, block and which texts may be learned from, of each stored block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            get = lambda c: batch.column(batch.schema.get_field_index(c))[k]  # noqa: B023, E731
+            learns = np.array(get("learns").as_py(), bool) & np.array([x is not None for x in get("doc_ids").as_py()], bool)
+            yield get("block").as_py(), _Block.of(batch, k), learns
 
-    def read(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        hash_, doc, body = _words(texts, keep_words=True)
-        _, head, place = np.unique(hash_, return_index=True, return_inverse=True)
-        ids = [subwords.encode_ordinary(" " + body[k].decode()) if body[k] else [end] for k in head]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.int64, int(sizes.sum()))
-        first = np.cumsum(sizes) - sizes
-        n = sizes[place] + np.concatenate(([True], doc[1:] != doc[:-1]))
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) - np.repeat(ends - sizes[place], n)
-        return np.where(at < 0, begin, flat[np.where(at < 0, 0, first[np.repeat(place, n)] + at)]), np.repeat(doc, n)
 
-    held: list[bytes] = []
-    for _, texts in pieces(batches):
-        held += [t or b"" for t in texts]
-        if sum(map(len, held)) >= READ_BYTES:
-            yield read(held)
-            held = []
-    if held:
-        yield read(held)
+def _scores(sent, tokens: int, distinct: int):
+    def work(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        blocks = blocks.combine_chunks()
+        ids = blocks.column("doc_ids")[0].values
+        own, model = _Block.of(blocks), sent.value
+        count = blocks.column("counts")[0].values.to_numpy().copy()
+        if found.num_rows:
+            count[np.searchsorted(own.word, found.column("word").to_numpy().view(np.uint64))] = found.column("c").to_numpy()
+        unknown, begin = len(model.tables["own"]) - 1, int(model.entry[-2])
+        attended = np.empty(len(own.place))
+        for k in range(0, len(own.place), RUN):
+            stream, text, ends = own.stream(model.entry, begin, k, k + RUN)
+            log10 = model.log10(stream, text).astype(np.float64) + np.where(stream == unknown, np.log10(model.share), 0.0)
+            opens = np.concatenate(([True], text[1:] != text[:-1]))  # the begin is given, not predicted
+            log10[opens] = 0.0
+            attended[k : k + RUN] = np.add.reduceat(log10, np.concatenate(([0], ends[:-1])))
+        base = np.log10((count + 1.0) / (tokens + distinct + 1.0))[own.place]
+        top = np.maximum(base, attended)
+        both = top + np.log10(COUNTS * 10.0 ** (base - top) + (1 - COUNTS) * 10.0 ** (attended - top))
+        n = len(own.n_tokens)
+        by = lambda values: np.bincount(own.doc, values, n)
+        return pa.table({
+            "doc_id": ids, "n_tokens": pa.array(own.n_tokens, pa.int64()), "n_known": pa.array(by((count > 0)[own.place].astype(float)).astype(np.int64)), "train_tokens": pa.array(np.full(n, tokens), pa.int64()),
+            "base_score": pa.array(by(base)), "score": pa.array(by(both)), "attention_score": pa.array(by(attended)),
+        })
+
+    return work
+
 
+def _pairs(vocabulary: int):
+    every = np.arange(vocabulary)
 
-def _pairs(path: str, pattern: str, vocabulary: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for stream, text in _streams(batches, path, pattern):
-            same = text[1:] == text[:-1]
-            cell, n = np.unique(stream[:-1][same] * vocabulary + stream[1:][same], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell // vocabulary), pa.array(cell % vocabulary), pa.array(n.astype(np.int64))], ["x", "y", "n"])
+        for _, own, learns in _learnt(batches):
+            for start, stop in own.cuts(learns):
+                stream, text, _ = own.stream(every, vocabulary - 2, start, stop)
+                same = text[1:] == text[:-1]
+                cell, n = np.unique(stream[:-1][same] * vocabulary + stream[1:][same], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell // vocabulary), pa.array(cell % vocabulary), pa.array(n.astype(np.int64))], ["x", "y", "n"])
 
     return work
 
@@ -250,25 +267,30 @@ def _pair_step(sent):
     return work
 
 
-def _learned(sent, path: str, pattern: str, passes: int):
+def _learned(sent):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(sent.value, TaskContext.get().partitionId())
-        for stream, text in _streams(batches, path, pattern):
-            learner.see(learner.model.entry[stream], text, passes)
-        if learner.steps:
-            yield from _sliced(learner.by_entry())
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([learner.by_step().astype(np.float32).tobytes()], pa.binary())], ["slice", "body"])
+        model, total, steps = sent.value, 0.0, 0.0
+        begin = int(model.entry[-2])
+        for number, own, learns in _learnt(batches):
+            learner = Learner(model, number)
+            for start, stop in own.cuts(learns):
+                learner.see(*own.stream(model.entry, begin, start, stop)[:2])
+            if learner.steps:
+                total, steps = total + learner.by_entry(), steps + learner.by_step()
+        if isinstance(total, np.ndarray):
+            yield from _sliced(total)
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([steps.astype(np.float32).tobytes()], pa.binary())], ["slice", "body"])
 
     return work
 
 
-def learn(docs: DataFrame, n_bytes: int, path: str, pattern: str) -> Model:
-    """The attention model from all rows that may be learned from, of ``n_bytes`` in all."""
-    context = docs.sparkSession.sparkContext
-    texts = docs.where("learns and doc_id is not null").select("text")
+def learn(blocks: DataFrame, path: str, pattern: str) -> Model:
+    """The attention model from all rows of stored blocks that may be learned from."""
+    context = blocks.sparkSession.sparkContext
+    texts = blocks.select("block", "doc_ids", "learns", "n_tokens", "places", "words", "ids", "sizes")
     begin = load_subwords(path, pattern).n_vocab
     vocabulary = begin + 2
-    pairs = texts.mapInArrow(_pairs(path, pattern, vocabulary), "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    pairs = texts.mapInArrow(_pairs(vocabulary), "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
     pairs = stored(pairs, "scoring-pairs")
     follow = pairs.groupBy("y").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs")).sort("y").toArrow()  # at most the vocabulary
     ids, n = follow.column("y").to_numpy(), follow.column("n").to_numpy()
@@ -280,12 +302,9 @@ def learn(docs: DataFrame, n_bytes: int, path: str, pattern: str) -> Model:
         sent = context.broadcast((start.own, start.expert, start.entry))
         start.take(_whole(_gathered(pairs.coalesce(tasks).mapInArrow(_pair_step(sent), "slice int, body binary")), start.n, 2 * EXPERTS))
         sent.destroy()
-    tasks = max(1, -(-n_bytes // LEARN_BYTES))
-    passes = max(1, -(-LEAST_STEPS * BATCH * STEP * tasks // int(n.sum())))
-    passes = min(passes, LEAST_STEPS)
     model = start.model()
     sent = context.broadcast(model)
-    found = _gathered(texts.coalesce(tasks).mapInArrow(_learned(sent, path, pattern, passes), "slice int, body binary"))
+    found = _gathered(texts.mapInArrow(_learned(sent), "slice int, body binary"))
     sent.destroy()
     width = Learner(model, 0).by_entry().shape[1]
     return mean_model(model, start.base, _whole(found, start.n, width), found[-1])
@@ -299,18 +318,19 @@ def score_texts(docs: DataFrame, may_learn, path: str, pattern: str) -> DataFram
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(may_learn, F.lit(False)).alias("learns"))
-    schema = "block long, ids array<long>, learns array<boolean>, sizes array<long>, packed binary, words array<long>, counts array<long>"
-    blocks = stored(rows.mapInArrow(_blocks, schema), "scoring-blocks")
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    dealt = rows.repartition(n_bytes // BLOCK_BYTES + 1, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    blocks = stored(dealt.mapInArrow(_blocks(path, pattern), BLOCKS), "scoring-blocks")
     words = blocks.select("block", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("block", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     counted = stored(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "scoring-counts")
     tokens, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    n_bytes = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
-    model = learn(rows, n_bytes, path, pattern)
+    model = learn(blocks, path, pattern)
     # A block knows the count of a word that it alone holds.
     more = words.join(counted, "word").where("c > n").select(F.col("block").alias("of"), "word", "c")
     sent = spark.sparkContext.broadcast(model)
     out = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, attention_score double"
-    return blocks.groupBy("block").cogroup(more.groupBy("of")).applyInArrow(_scores(sent, path, pattern, tokens, distinct), out)
+    texts = blocks.select("block", "doc_ids", "n_tokens", "places", "words", "counts", "ids", "sizes")
+    return texts.groupBy("block").cogroup(more.groupBy("of")).applyInArrow(_scores(sent, tokens, distinct), out)
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
