@@ -58,3 +58,21 @@ def test_attention_learns_from_long_texts(spark):
     got = score_texts(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") % 7 != 2, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
     (held_out,) = [r for r in got if r.doc_id == 2]
     assert held_out.attention_score / held_out.n_tokens > -1
+
+
+def test_scores_do_not_depend_on_the_order_of_rows(spark):
+    import public_tokenizers as P
+
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(80)]
+    rows = [(k % 55, " ".join(rng.choices(words, k=rng.randint(0, 120))), "x") for k in range(60)]
+    rows += [(7, None, "x"), (7, "", "x"), (None, "a b c", "x"), (8, rows[8][1], "x")]
+    runs = []
+    for parts in (1, 3):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(parts, "text")
+        got = score_texts(docs, F.col("doc_id") % 7 != 2, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+        runs.append(sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score, r.attention_score, r.score) for r in got))
+    assert len(runs[0]) == len(rows)
+    for one, other in zip(*runs, strict=True):
+        assert one[:3] == other[:3] and all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9) for a, b in zip(one[3:], other[3:], strict=True))
