@@ -35,7 +35,7 @@ APARTMENT = (
     r"(?iu)Тип кв\.:\s*(.+?)[,.]?\s+К-во комнат:\s*(\d+)\s+"
     r"Площадь общая:\s*([\d\.]+),?\s+жилая:\s*([\d\.]+)"
 )
-RESIDENTS = r"(?iu)(?:К-во проживающих|проживающих):\s*(\d+)"
+RESIDENTS = r"(?iu)проживающих:\s*(\d+)"
 PAID_ON = r"(?iu)Дата последней оплаты:\s*([\d\.-]+)"
 
 # Fixed value: bills name no unit.
@@ -47,27 +47,34 @@ BAD_AMOUNT = "bad_amount"
 
 
 def bill_matches(text: Column) -> Column:
-    """Struct of what each pattern finds once whitespace is collapsed, ``''`` if nothing.
+    """Struct of what the patterns find once whitespace is collapsed, ``''`` if nothing.
 
-    Every pattern reads the text once. Those with several groups keep the whole match,
-    whose groups are taken later from that short piece.
+    Every pattern reads the text once, and those that stand in for others only where these find
+    nothing. Those with several groups keep the whole match, whose groups are taken later from that
+    short piece.
     """
     found = {
-        "account_1": (ACCOUNT[0], 1),
-        "account_2": (ACCOUNT[1], 1),
-        "account_3": (ACCOUNT[2], 1),
         "address": (ADDRESS, 1),
-        "period": (PERIOD, 0),
-        "as_of": (AS_OF, 0),
         "total": (TOTAL, 1),
         "apartment": (APARTMENT, 0),
         "residents": (RESIDENTS, 1),
         "paid_on": (PAID_ON, 1),
     }
-    return let(
-        collapse_whitespace(text),
-        lambda t: F.struct(*[F.regexp_extract(t, p, g).alias(name) for name, (p, g) in found.items()]),
-    )
+
+    def first_of(t: Column, pattern: str, *others: str, group: int = 1) -> Column:
+        here = F.regexp_extract(t, pattern, group)
+        if not others:
+            return here
+        return let(here, lambda x: F.when(x == "", first_of(t, *others, group=group)).otherwise(x))
+
+    def matches(t: Column) -> Column:
+        return F.struct(
+            first_of(t, *ACCOUNT).alias("account"),
+            first_of(t, PERIOD, AS_OF, group=0).alias("dated"),
+            *[F.regexp_extract(t, p, g).alias(name) for name, (p, g) in found.items()],
+        )
+
+    return let(collapse_whitespace(text), matches)
 
 
 def bill_fields(found: Column) -> dict[str, Column]:
@@ -76,9 +83,9 @@ def bill_fields(found: Column) -> dict[str, Column]:
     def group(name: str, pattern: str, number: int) -> Column:
         return blank_to_null(F.regexp_extract(found[name], pattern, number))
 
-    dated = found["period"] != ""
-    year = F.when(dated, group("period", PERIOD, 2)).otherwise(group("as_of", AS_OF, 1))
-    month = F.when(dated, group("period", PERIOD, 1)).otherwise(group("as_of", AS_OF, 2))
+    # A match of one of these patterns is none of the other.
+    year = F.coalesce(group("dated", PERIOD, 2), group("dated", AS_OF, 1))
+    month = F.coalesce(group("dated", PERIOD, 1), group("dated", AS_OF, 2))
     total_area, living_area = group("apartment", APARTMENT, 3), group("apartment", APARTMENT, 4)
     bad_total = (found["total"] != "") & to_double(found["total"]).isNull()
     too_large = to_double(found["total"]).isNotNull() & to_decimal(found["total"], MONEY).isNull()
@@ -86,7 +93,7 @@ def bill_fields(found: Column) -> dict[str, Column]:
         to_double(total_area).isNull() | to_double(living_area).isNull()
     )
     return {
-        "account_number": F.coalesce(*[blank_to_null(found[f"account_{n}"]) for n in (1, 2, 3)]),
+        "account_number": blank_to_null(found["account"]),
         "address": strip(blank_to_null(found["address"])),
         "year": year.try_cast("int"),
         "month": month.try_cast("int"),
