@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvitok.session import shared_dir
+
 
 def key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values of the checked columns with their number of rows ``n``."""
@@ -106,7 +108,17 @@ def merged_counts(counts: Sequence[DataFrame]) -> DataFrame:
 
 
 def table_checks(counts: dict[str, DataFrame]) -> DataFrame:
-    """Violations of every constraint whose tables are given, from their ``table_counts``."""
+    """Violations of every constraint whose tables are given, from their ``table_counts``.
+
+    Counts are stored once: the checks of a table filter and group them in different ways, so without
+    that each of them would count the table again.
+    """
+    stored = {}
+    for table, rows in counts.items():
+        path = shared_dir(rows.sparkSession, f"counts-{table}")
+        rows.write.parquet(path)
+        stored[table] = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    counts = stored
     found = []
     for table, rows in counts.items():
         keys = _keys(table)
