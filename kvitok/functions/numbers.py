@@ -12,9 +12,14 @@ QUANTITY = "decimal(18,3)"
 MONEY = "decimal(18,2)"
 
 
+# Digits and points that no cast takes for a number. A failing cast costs an exception, which a pattern does not.
+_NO_NUMBER = r"^(?:\.?|[0-9]*+\.[0-9]*+\.[0-9.]*+)$"
+
+
 def to_double(token: Column) -> Column:
     """NULL when the token, with commas as points, is no number."""
-    return F.replace(token, F.lit(","), F.lit(".")).try_cast("double")
+    pointed = F.replace(token, F.lit(","), F.lit("."))
+    return F.when(~F.rlike(pointed, F.lit(_NO_NUMBER)), pointed.try_cast("double"))
 
 
 def to_decimal(token: Column, type_name: str) -> Column:
