@@ -78,8 +78,8 @@ def _bill_text(spark: SparkSession, sf: str) -> DataFrame:
     return sample.bill_texts(spark, sf).select("msg_id", "received_at", "body")
 
 
-def _messages(spark: SparkSession, sf: str) -> DataFrame:
-    return mime.read_messages(sample_mail(spark, sf))
+def _messages(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
+    return mime.read_messages(sample_mail(spark, sf), fields=fields)
 
 
 def _accepted(spark: SparkSession, sf: str) -> DataFrame:
@@ -601,13 +601,13 @@ def mail_triage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def mail_parts(spark: SparkSession, sf: str) -> DataFrame:
-    parts = _messages(spark, sf).select("msg_id", F.inline("parts"))
+    parts = _messages(spark, sf, "body").select("msg_id", F.inline("parts"))
     return parts.select("msg_id", "part_idx", "content_type", F.md5("body").alias("body_md5"))
 
 
 @query
 def bill_html_rows(spark: SparkSession, sf: str) -> DataFrame:
-    parts = _messages(spark, sf).select("msg_id", F.inline("parts"))
+    parts = _messages(spark, sf, "rows").select("msg_id", F.inline("parts"))
     services = parts.where("content_type = 'text/html'").select(
         "msg_id", "part_idx", F.posexplode(parse.html_services(F.col("rows"))).alias("line_idx", "s")
     )
